@@ -5,7 +5,12 @@ from __future__ import annotations
 from importlib import import_module
 
 #: query name -> module of this subpackage that has a function of that name, and perhaps <NAME>_SQL
-MODULES = {"op10_bpe": "bpe"}
+MODULES = {
+    "op2_simhash": "simhash",
+    "op5_quality_rules": "quality_rules",
+    "op8_secret_scan": "secrets",
+    "op10_bpe": "bpe",
+}
 
 
 def queries() -> dict:
