@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, ragged, whole_text
+from gridloom.llm.common import chunks, ragged, shared, whole_text
 
 NONE = np.int32(2**31 - 1)
 # The pre-token pattern for which runs between white space can be split first; Unicode white space.
@@ -220,7 +220,7 @@ class Encoder:
 
 def _shared_table(spark: SparkSession, path: str):
     """The pair table as a broadcast: its size depends on the vocabulary alone (about 20 MB for 50,000 tokens)."""
-    return spark.sparkContext.broadcast(PairTable(read_ranks(path)))
+    return shared(spark, PairTable(read_ranks(path)))
 
 
 #: Characters that one step encodes, which bounds a worker's memory; one longer text is a step of its own.
@@ -228,7 +228,7 @@ STEP_CHARS = 2_000_000
 
 
 def _columns(batches, table, pattern):
-    encoder = Encoder(table.value, pattern)
+    encoder = Encoder(table, pattern)
     for batch in batches:
         keys, texts = batch.column(0), batch.column(1)
         sizes = pa.compute.utf8_length(texts).to_pylist()
@@ -239,10 +239,10 @@ def _columns(batches, table, pattern):
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str = SPACED_PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token_ids array<int>) of every row; null texts count as empty."""
-    shared = _shared_table(docs.sparkSession, vocabulary)
+    table = _shared_table(docs.sparkSession, vocabulary)
 
     def run(batches):
-        for keys, ids, n in _columns(batches, shared, pattern):
+        for keys, ids, n in _columns(batches, table(), pattern):
             off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.record_batch([keys, pa.ListArray.from_arrays(off, pa.array(ids))], ["key", "token_ids"])
 
@@ -252,14 +252,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str = SPACED_PATTERN, key:
 
 def decode(tokens: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:
     """(key, content binary): the bytes of every row's ids; a null list counts as an empty one."""
-    shared = _shared_table(tokens.sparkSession, vocabulary)
+    table = _shared_table(tokens.sparkSession, vocabulary)
 
     def run(batches):
+        vocabulary_table = table()
         for batch in batches:
             lists = batch.column(1)
             n = np.diff(np.asarray(lists.offsets))
             flat = np.asarray(lists.flatten())
-            out, sizes = shared.value.decode(flat)
+            out, sizes = vocabulary_table.decode(flat)
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])]
             raw = out.tobytes()
             yield pa.record_batch([batch.column(0), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["key", "content"])
@@ -270,11 +271,12 @@ def decode(tokens: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str = SPACED_PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes every row, then decodes the ids it got."""
-    shared = _shared_table(docs.sparkSession, vocabulary)
+    table = _shared_table(docs.sparkSession, vocabulary)
 
     def run(batches):
-        for keys, ids, n in _columns(batches, shared, pattern):
-            out, sizes = shared.value.decode(ids)
+        own = table()
+        for keys, ids, n in _columns(batches, own, pattern):
+            out, sizes = own.decode(ids)
             at = np.concatenate([[0], np.cumsum(n)])
             ends = np.concatenate([[0], np.cumsum(sizes)])[at]
             raw_ids, raw = memoryview(ids.astype("<u4").tobytes()), memoryview(out.tobytes())

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,28 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
+    """(doc_id, text, label) of at most `most` labelled documents, chosen by a hash of doc_id among the allowed rows.
+
+    The bound is what a model is fitted on; rows without a label are left out. A repeated id counts once.
+    """
+    rows = labels.filter(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    pick = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most).dropDuplicates(["doc_id"])
+    # `most` rows at most, so the broadcast has a fixed bound.
+    found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(pick), "doc_id")
+    return found
+
+
+def shared(spark: SparkSession, value):
+    """A function that gives value on executors, through a broadcast; for values whose size has a fixed bound.
+
+    Pickled with the classes it needs, so executors need not have this package.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        return pickle.loads(sent.value)
+
+    return get
