@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: query name -> module of this subpackage that has a function of that name, and perhaps <NAME>_SQL
 MODULES = {
+    "op1_quality_classifier": "quality_model",
     "op2_simhash": "simhash",
     "op5_quality_rules": "quality_rules",
+    "op7_toxicity": "toxicity",
     "op8_secret_scan": "secrets",
     "op10_bpe": "bpe",
 }
