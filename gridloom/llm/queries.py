@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_quality_classifier": "quality_model",
     "op2_simhash": "simhash",
+    "op3_substring_dedup": "substring_dedup",
     "op5_quality_rules": "quality_rules",
     "op6_main_text": "html_text",
     "op7_toxicity": "toxicity",
