@@ -9,6 +9,7 @@ MODULES = {
     "op1_quality_classifier": "quality_model",
     "op2_simhash": "simhash",
     "op3_substring_dedup": "substring_dedup",
+    "op4_decontamination": "decontaminate",
     "op5_quality_rules": "quality_rules",
     "op6_main_text": "html_text",
     "op7_toxicity": "toxicity",
