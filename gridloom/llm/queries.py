@@ -14,6 +14,7 @@ MODULES = {
     "op6_main_text": "html_text",
     "op7_toxicity": "toxicity",
     "op8_secret_scan": "secrets",
+    "op9_line_dedup": "line_dedup",
     "op10_bpe": "bpe",
 }
 
