@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Queries searched at once; with the largest shard this bounds a search's memory.
-QUERIES = 512
+#: Queries searched at once, at most, and pairs of a query and a node held at once: fewer queries for larger shards.
+QUERIES, PAIRS = 8192, 2_000_000
 
 
 class Forest:
@@ -40,8 +40,10 @@ class Forest:
 
     def search(self, radius: int):
         """Yields arrays (query, node) of all pairs of one shard within the radius, query != node."""
-        for start in range(0, len(self.codes), QUERIES):
-            q = np.arange(start, min(start + QUERIES, len(self.codes)))
+        largest = int(np.bincount(self.root).max()) if len(self.root) else 1
+        step = max(1, min(QUERIES, PAIRS // largest))
+        for start in range(0, len(self.codes), step):
+            q = np.arange(start, min(start + step, len(self.codes)))
             node = self.root[q]
             while len(q):
                 d = self.distance(q, node)

@@ -269,8 +269,8 @@ def decode(tokens: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, content binary").withColumnRenamed("key", key)
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str = SPACED_PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encodes every row, then decodes the ids it got."""
+def digests(docs: DataFrame, vocabulary: str, pattern: str = SPACED_PATTERN, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): encodes every row, then decodes the ids it got. with_ids: token_ids as well."""
     table = _shared_table(docs.sparkSession, vocabulary)
 
     def run(batches):
@@ -280,18 +280,20 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str = SPACED_PATTERN, key
             at = np.concatenate([[0], np.cumsum(n)])
             ends = np.concatenate([[0], np.cumsum(sizes)])[at]
             raw_ids, raw = memoryview(ids.astype("<u4").tobytes()), memoryview(out.tobytes())
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))] if with_ids else []
             yield pa.record_batch(
                 [
                     keys,
                     pa.array(n, pa.int64()),
                     pa.array([hashlib.sha256(raw_ids[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string()),
                     pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string()),
+                    *lists,
                 ],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
+                ["key", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: 4 + with_ids],
             )
 
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The ASCII white space that separates words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -25,6 +28,17 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def identity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """(row bigint, tag int), which tell documents apart: the key and a hash of the text.
+
+    So rows that share a key or have none stay apart, and rows equal in both count as one document. Unlike a
+    row number it is the same in every job.
+    """
+    kind, whole = docs.schema[key].dataType, whole_text(text)
+    number = F.col(key).cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(key)
+    return F.coalesce(F.when(F.col(key).isNotNull(), number), F.xxhash64(whole)).alias("row"), F.hash(whole).alias("tag")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,9 +58,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and rereads it: smaller than a checkpoint for wide rows."""
+    """Writes df as Parquet in the shared folder and rereads it: smaller than a checkpoint for wide rows.
+
+    Then lets Spark's cleaner remove the shuffle files of that job, which would stay until the driver happens to collect garbage.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -107,3 +126,24 @@ def shared(spark: SparkSession, value):
         return pickle.loads(sent.value)
 
     return get
+
+
+def whole_groups(batches, most: int):
+    """Arrow tables of whole groups, of rows clustered by their first column; about `most` rows at once, or one larger group."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            differ = np.flatnonzero(key != key[-1])
+            if len(differ):
+                end = int(differ[-1]) + 1
+                yield table.slice(0, end)
+                held, rows = table.slice(end).to_batches(), len(key) - end
+    if held:
+        yield pa.Table.from_batches(held)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, ragged, shared, whole_text
+from gridloom.llm.common import chunks, identity, ragged, shared, whole_text
 
 WINDOW, STRIDE, Q, EDITS, MINIMUM = 80, 20, 8, 12, 40
 #: Characters of benchmark items that one block of the query set holds, about.
@@ -195,10 +195,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     return out.withColumnRenamed("key", key)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs into which no item leaks."""
-    dirty = leaks(docs, benchmark, key).select(F.col(key).alias("_dirty")).distinct()
-    return docs.join(dirty, docs[key].eqNullSafe(F.col("_dirty")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs into which no item leaks, with all their columns."""
+    row, tag = identity(docs, key, text)
+    dirty = leaks(docs.select(F.struct(row, tag).alias("id"), F.col(text).alias("text")), benchmark, "id").select("id.row", "id.tag").distinct()
+    every = docs.select(row, tag, F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]).alias("all"))
+    return every.join(dirty, ["row", "tag"], "left_anti").select(*[F.col(f"all._{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.common import cut, stored, whole_text
+from gridloom.llm.common import cut, identity, stored, whole_groups, whole_text
 from gridloom.llm.components import components
 from gridloom.llm.rolling import Hashes, mix
 
@@ -133,27 +132,6 @@ def within(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(batches, width: int):
-    """Rows clustered by their first column, in runs of whole groups: lists of arrays, the others as Python lists."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= ROWS:
-            table = pa.Table.from_batches(held)
-            key = table.column(0).to_numpy()
-            differ = np.flatnonzero(key != key[-1])
-            if len(differ):
-                end = int(differ[-1]) + 1
-                yield table.slice(0, end)
-                held, rows = table.slice(end).to_batches(), len(key) - end
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _signature_rows(lines: DataFrame) -> DataFrame:
     """lines: h, line."""
 
@@ -194,7 +172,7 @@ def _likely(signs: DataFrame) -> DataFrame:
     """(sign, h) of lines that have a partner in their group whose sketch allows EDITS edits."""
 
     def run(batches):
-        for table in _groups(batches, 3):
+        for table in whole_groups(batches, ROWS):
             sign, h, sketch = (c.to_numpy() for c in table.columns)
             fresh = np.concatenate([[True], (sign[1:] != sign[:-1]) | (h[1:] != h[:-1])])
             sign, h, sketch = sign[fresh], h[fresh], sketch[fresh]
@@ -216,7 +194,7 @@ def _links(members: DataFrame) -> DataFrame:
     """members: sign, h, line. (a, b): links that give the components of all near pairs of each group."""
 
     def run(batches):
-        for table in _groups(batches, 3):
+        for table in whole_groups(batches, ROWS):
             sign, h = table.column(0).to_numpy(), table.column(1).to_numpy()
             distinct, code = np.unique(h, return_inverse=True)
             where = np.zeros(len(distinct), np.int64)
@@ -261,10 +239,7 @@ def _links(members: DataFrame) -> DataFrame:
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """All columns as _0, _1, ... (so no name clashes), with row and tag (which tell documents apart) and text."""
-    whole = whole_text(text)
-    kind = docs.schema[key].dataType
-    number = F.col(key).cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(key)
-    return docs.select(F.coalesce(F.when(F.col(key).isNotNull(), number), F.xxhash64(whole)).alias("row"), F.hash(whole).alias("tag"), whole.alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]).alias("all"))
+    return docs.select(*identity(docs, key, text), whole_text(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]).alias("all"))
 
 
 def _lines(base: DataFrame, *more: Column) -> DataFrame:

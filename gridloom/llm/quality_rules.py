@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_GAP, cut, whole_text
+from gridloom.llm.common import WORD_GAP, cut, identity, whole_text
 
 #: Hash buckets of n-grams; bounds the counts, the weights and what is broadcast.
 BUCKETS = 1 << 16
@@ -114,10 +114,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", trusted: Col
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
 
-def kept(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose document is kept, with all their columns."""
-    verdict = score(docs, key).filter("kept").select(F.col(key).alias("_kept_key")).distinct()
-    return docs.join(verdict, docs[key].eqNullSafe(F.col("_kept_key")), "left_semi")
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    row, tag = identity(docs, key, text)
+    verdict = score(docs.select(F.struct(row, tag).alias("id"), F.col(text).alias("text")), "id", "text").filter("kept").select("id.row", "id.tag").distinct()
+    every = docs.select(row, tag, F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]).alias("all"))
+    found = every.join(verdict, ["row", "tag"], "left_semi")
+    return found.select(*[F.col(f"all._{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
