@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.common import chunks, whole_text
+from gridloom.llm.common import chunks, identity, stored, whole_text
+from gridloom.llm.rolling import Hashes, mix
 from gridloom.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 200, 120
@@ -31,36 +31,7 @@ SIDE = LENGTH - ANCHOR  # bytes to each side of an anchor that a string can reac
 #: Different contexts of an anchor that one suffix array sorts, at most.
 GROUP = 5000
 STEP_BYTES = 2_000_000
-BASE = 0x100000001B3
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x
-
-
-class Hashes:
-    """Hashes of substrings of texts that are joined: polynomials modulo 2^64 over mixed bytes, from prefix sums."""
-
-    _bytes = _mix(np.arange(1, 257, dtype=np.uint64))
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(BASE, -1, 2**64), np.uint64)]))
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), BASE, np.uint64)]))[:n]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._bytes[data] * up, out=self.sums[1:])
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.sums[b] - self.sums[a]) * self.down[a]
-
-    def all_of(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return (self.sums[size:] - self.sums[:n]) * self.down[:n]
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -81,8 +52,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         return none, none, none, none
     starts = np.cumsum(sizes) - sizes
-    hashes = Hashes(data)
-    h = _mix(hashes.all_of(ANCHOR)) | np.uint64(1)
+    hashes = Hashes(BYTES[data])
+    h = mix(hashes.all_of(ANCHOR)) | np.uint64(1)
     least = _sliding(h, width, np.minimum)  # of the string that starts here
     inside = np.zeros(len(least) + 1, np.int64)
     some = sizes >= LENGTH
@@ -95,7 +66,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     text = np.searchsorted(starts, at, "right") - 1
     left = np.maximum(at - SIDE, starts[text])
     right = np.minimum(at + LENGTH, starts[text] + sizes[text])
-    around = _mix(hashes.of(left, right) + ((at - left) * 1024 + (right - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    around = mix(hashes.of(left, right) + ((at - left) * 1024 + (right - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return text, at - starts[text], h[at].view(np.int64), around.view(np.int64)
 
 
@@ -229,21 +200,20 @@ def repeated_spans(base: DataFrame, most: int = GROUP) -> DataFrame:
     Rows of one (row, tag) have one text, and each counts: their strings repeat each other.
     """
     every = _anchor_rows(base)
-    # Counts with partial sums, so a hot anchor is many rows to one task at most; the join can split it.
+    # Counts with partial sums, so a hot anchor is few rows to one task; the join can split it.
     again = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    rows = every.join(again, "h", "left_semi")
-    kinds = rows.groupBy("h", "around").agg(F.count("*").alias("m"), F.min(F.struct("row", "tag", "at")).alias("where"))
+    rows = stored(every.join(again, "h", "left_semi"), "anchors")
+    kinds = stored(rows.groupBy("h", "around").agg(F.count("*").alias("m"), F.min(F.struct("row", "tag", "at")).alias("where")), "contexts")
     proved = rows.join(kinds.filter("m > 1").select("h", "around"), ["h", "around"], "left_semi")
-    reach = (F.col("at") - SIDE).alias("a"), (F.col("at") + LENGTH).alias("b")
-    sure = proved.select("row", "tag", *reach)
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("m").alias("least")).filter("kinds > 1 AND least = 1").select("h", "kinds")
-    asked = kinds.join(groups, "h").select(F.col("where.row").alias("row"), F.col("where.tag").alias("tag"), F.struct("h", F.col("where.at").alias("at"), (F.col("m") > 1).alias("proved")).alias("x"))
+    sure = proved.select("row", "tag", (F.col("at") - SIDE).alias("a"), (F.col("at") + LENGTH).alias("b"))
+    groups = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("m").alias("least")).filter("kinds > 1 AND least = 1").select("h", "kinds"), "groups")
+    place = F.struct("h", F.col("where.at").alias("at"), (F.col("m") > 1).alias("proved"))
+    asked = kinds.join(groups, "h").select(F.col("where.row").alias("row"), F.col("where.tag").alias("tag"), place.alias("x"))
     asked = asked.groupBy("row", "tag").agg(F.collect_list("x").alias("asked"))
-    wanted = base.join(asked, ["row", "tag"]).select("row", "tag", "asked", "text")
-    contexts = _context_rows(wanted)
+    contexts = stored(_context_rows(base.join(asked, ["row", "tag"]).select("row", "tag", "asked", "text")), "around")
     large = groups.filter(F.col("kinds") > most).select("h")
     found = _sorted_groups(contexts.join(large, "h", "left_anti")).union(_dealt_groups(contexts.join(large, "h", "left_semi")))
-    return sure.union(found).groupBy("row", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return stored(sure.union(found).groupBy("row", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -261,11 +231,7 @@ def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", emit: str = "digest", most: int = GROUP) -> DataFrame:
     """One row a document. emit "text": key, spans and the kept bytes; "digest": key and the digest columns."""
     kind = docs.schema[key].dataType
-    whole = whole_text(text)
-    # A row is known by its key and a hash of its text, so rows that share a key or have none stay apart.
-    number = F.col(key).cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(key)
-    row = F.coalesce(F.when(F.col(key).isNotNull(), number), F.xxhash64(whole))
-    base = docs.select(row.alias("row"), F.hash(whole).alias("tag"), F.col(key).alias("key"), whole.alias("text"))
+    base = docs.select(*identity(docs, key, text), F.col(key).alias("key"), whole_text(text).alias("text"))
     joined = base.join(repeated_spans(base.select("row", "tag", "text"), most), ["row", "tag"], "left").select("key", "text", "spans")
 
     def run(batches):
