@@ -46,6 +46,11 @@ class Ops:
 
     sin, cos, tan, atan, atan2, sinh, cosh, atanh, asinh, exp, log, sqrt = (staticmethod(getattr(math, n)) for n in "sin cos tan atan atan2 sinh cosh atanh asinh exp log sqrt".split())
 
+    @staticmethod
+    def let(value, body):
+        """body(value); for columns the value is computed once."""
+        return body(value)
+
 
 def _series() -> tuple[float, tuple, tuple]:
     n = FLAT / (2 - FLAT)
@@ -93,12 +98,17 @@ def to_degrees(x, y, crs, m=Ops):
         q = q - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
     tau = m.sin(p) / m.sqrt(m.sinh(q) * m.sinh(q) + m.cos(p) * m.cos(p))
     ecc = math.sqrt(FLAT * (2 - FLAT))
-    t = tau
-    for _ in range(3):  # Newton's steps to the geodetic latitude
+
+    def newton(t, goal):
+        """A step to the geodetic latitude."""
         s = m.sinh(m.atanh(t / m.sqrt(t * t + 1) * ecc) * ecc)
-        ti = t * m.sqrt(s * s + 1) - s * m.sqrt(t * t + 1)
-        t = t + (tau - ti) / m.sqrt(ti * ti + 1) * (t * t * (1 - ecc**2) + 1) / (m.sqrt(t * t + 1) * (1 - ecc**2))
-    return m.atan2(m.sinh(q), m.cos(p)) * deg + (zone[0] * 6 - 183), m.atan(t) * deg
+        own = m.let(s, lambda v: t * m.sqrt(v * v + 1) - v * m.sqrt(t * t + 1))
+        return m.let(own, lambda u: t + (goal - u) / m.sqrt(u * u + 1) * (t * t * (1 - ecc**2) + 1) / (m.sqrt(t * t + 1) * (1 - ecc**2)))
+
+    def latitude(goal):
+        return m.let(m.let(newton(goal, goal), lambda t: newton(t, goal)), lambda t: m.atan(newton(t, goal)) * deg)
+
+    return m.atan2(m.sinh(q), m.cos(p)) * deg + (zone[0] * 6 - 183), m.let(tau, latitude)
 
 
 def transform(x, y, source, target, m=Ops):

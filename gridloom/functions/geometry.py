@@ -135,7 +135,7 @@ def overlap(a: list[list[Ring]], b: list[list[Ring]]) -> bool:
 
 def buffered(polygon: list[Ring], distance: float, quarter: int = 16) -> list[Ring]:
     """A polygon (outer ring) grown by a distance, with round corners: offset edges and arcs at convex corners."""
-    ring = polygon[0][:-1] if polygon[0][0] == polygon[0][-1] else polygon[0]
+    ring = polygon[0][:-1] if len(polygon[0]) > 1 and polygon[0][0] == polygon[0][-1] else polygon[0]
     if len(ring) == 1:
         x, y = ring[0]
         n = 4 * quarter

@@ -11,6 +11,10 @@ from gridloom.functions import crs
 class ColumnOps:
     sin, cos, tan, atan, atan2, sinh, cosh, atanh, asinh, exp, log, sqrt = (staticmethod(getattr(F, n)) for n in "sin cos tan atan atan2 sinh cosh atanh asinh exp log sqrt".split())
 
+    @staticmethod
+    def let(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
 
 def transform(x: Column, y: Column, source, target) -> tuple[Column, Column]:
     return crs.transform(x, y, source, target, ColumnOps)
