@@ -70,6 +70,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.bincount(passage * (CLASSES * CLASSES) + kind * CLASSES + following, minlength=p * CLASSES * CLASSES).reshape(p, -1)
     out = np.zeros((p, FEATURES), np.float32)
     out[:, : CLASSES * CLASSES] = np.sqrt(pairs / length[:, None]) * 3
+    out[:, -4] = np.log1p(1) / 4  # as for a passage of one word; a text without words looks the same in any batch
     # Words and their hashes: a polynomial over the bytes, from prefix sums modulo 2^64.
     word_start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
     if len(word_start):

@@ -84,21 +84,21 @@ def _signed(mask: int) -> int:
 def shards(nodes: DataFrame, radius: int, most: int = SHARD) -> DataFrame:
     """(shard, fp): every two codes (column fp, distinct) within the radius share a shard; shards have `most` members at most."""
 
-    def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
-        """rows: (path, fp); masks: radius + 1 for each path, of the bits that name a shard."""
+    def dealt(rows: DataFrame, masks: list[int], level: int) -> DataFrame:
+        """rows: (path, fp); masks: radius + 1 for each path, of the bits that name a shard. Levels have shards of their own."""
         each = F.array(*[F.lit(_signed(m)) for m in masks])
         out = rows.select("fp", F.explode(F.sequence(F.col("path") * (radius + 1), F.col("path") * (radius + 1) + radius)).alias("path"))
-        return out.select("path", F.xxhash64("path", F.col("fp").bitwiseAND(F.get(each, F.col("path")))).alias("shard"), "fp")
+        return out.select("path", F.xxhash64(F.lit(level), "path", F.col("fp").bitwiseAND(F.get(each, F.col("path")))).alias("shard"), "fp")
 
     masks = _bands((1 << 64) - 1, radius + 1)
-    rows, done = dealt(nodes.select("fp", F.lit(0).alias("path")), masks), []
-    while True:
+    rows, done = dealt(nodes.select("fp", F.lit(0).alias("path")), masks, 0), []
+    for level in range(1, 65):
         hot = cut(rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("shard"))
         if hot.isEmpty():
             break
         done.append(rows.join(hot, "shard", "left_anti").select("shard", "fp"))
         masks = [m | band for m in masks for band in _bands(((1 << 64) - 1) & ~m, radius + 1)]
-        rows = dealt(rows.join(hot, "shard", "left_semi"), masks)
+        rows = dealt(rows.join(hot, "shard", "left_semi"), masks, level)
     out = rows.select("shard", "fp")
     for x in done:
         out = out.union(x)
