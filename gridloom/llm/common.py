@@ -16,11 +16,6 @@ from pyspark.sql import types as T
 
 # The ASCII white space that separates words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def whole_text(col: str = "text") -> Column:
@@ -69,15 +64,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a frame that stored() made, once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fold(col: Column | str, parts: int) -> Column:
     """crc32 of the decimal text of an id, modulo parts."""
     c = F.col(col) if isinstance(col, str) else col

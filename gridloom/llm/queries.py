@@ -21,13 +21,7 @@ MODULES = {
 
 def queries() -> dict:
     found = {name: getattr(import_module(f"gridloom.llm.{module}"), name) for name, module in MODULES.items()}
-    try:
-        import corpus_pipeline
-    except ModuleNotFoundError as e:
-        if e.name != "corpus_pipeline":
-            raise
-    else:
-        found["pipeline"] = corpus_pipeline.run
+    found["pipeline"] = import_module("corpus_pipeline").run
     return found
 
 
