@@ -109,7 +109,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", trusted: Col
     # The weights have BUCKETS rows at most, whatever the input.
     joined = each.join(F.broadcast(table), "gram", "left")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = joined.groupBy("row").agg(F.first("key").alias(key), *[F.first(c).alias(c) for c in names], F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
+    # the key is grouped by, as a first() of some types would need a sorting aggregation
+    out = joined.groupBy("row", F.col("key").alias(key)).agg(*[F.first(c).alias(c) for c in names], F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
