@@ -17,13 +17,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_known: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, from 0 on; kept for the next call if they aren't many."""
+    if not _known or len(_known[0]) < n:
+        size = max(n, 1 << 17)
+        made = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 2**64))]
+        if size > 1 << 20:
+            return made[0], made[1]
+        _known[:] = made
+    return _known[0], _known[1]
+
+
 class Hashes:
     """Polynomials modulo 2^64 over mixed symbols, from prefix sums."""
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(BASE, -1, 2**64), np.uint64)]))
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), BASE, np.uint64)]))[:n]
+        up, self.down = _powers(n + 1)
+        up = up[:n]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(symbols * up, out=self.sums[1:])
 

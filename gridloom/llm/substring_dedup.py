@@ -30,7 +30,8 @@ LENGTH, ANCHOR = 200, 120
 SIDE = LENGTH - ANCHOR  # bytes to each side of an anchor that a string can reach
 #: Different contexts of an anchor that one suffix array sorts, at most.
 GROUP = 5000
-STEP_BYTES = 2_000_000
+#: Bytes hashed at once: few enough for the arrays to stay in a core's cache.
+STEP_BYTES = 60_000
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -127,9 +128,13 @@ def _anchor_rows(base: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             rows, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found: list[list[np.ndarray]] = [[], [], [], [], []]
             for a, b in chunks([len(t) for t in texts], STEP_BYTES):
                 text, at, h, around = anchors(texts[a:b])
-                yield pa.record_batch([pa.array(x) for x in (h, around, rows[a + text], tags[a + text], at.astype(np.int32))], ["h", "around", "row", "tag", "at"])
+                for own, x in zip(found, (h, around, rows[a + text], tags[a + text], at.astype(np.int32))):
+                    own.append(x)
+            if texts:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], ["h", "around", "row", "tag", "at"])
 
     return base.mapInArrow(run, "h bigint, around bigint, row bigint, tag int, at int")
 
