@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bktree import Forest
-from gridloom.llm.common import chunks, cut, identity, stored, whole_groups, whole_text
+from gridloom.llm.common import chunks, cut, identity, shared, stored, whole_groups, whole_text
 from gridloom.llm.components import components
 from gridloom.llm.rolling import mix
 
@@ -153,76 +153,273 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(placed.join(named, "root").select("fp", "component"), "fp").select(key, "fp", "component")
 
 
-#: For near_copies(): words of a shingle, 64-bit words of its code, bits in which linked codes differ at most. Texts whose sets of
-#: shingles have Jaccard similarity 0.8 have cosine 0.89, so codes that differ in 0.15 of their bits: 78 of 512 with a standard
-#: deviation of 8. The radius is a little above, so that few such texts are missed.
-SHINGLE, CODE, RADIUS = 5, 8, 84
-#: Blocks of 16 bits of the code of a text's set of words, which deal the texts to shards; equal in one block is enough.
-BLOCKS, NEXT = 16, 5
+#: For near_copies(): words of a shingle; texts link at Jaccard similarity 4/5 or more of their sets of shingles.
+SHINGLE = 5
+#: One document in SAMPLE is counted to find frequent shingles: those in FREQUENT of them, the HOT most frequent at most.
+SAMPLE, FREQUENT, HOT = 16, 6, 200_000
+#: Bits of the parity sketch that is held against a pair before its sets are; rows of sets handled together.
+PARITY, SETS = 2048, 4096
+#: Documents with a possible partner up to which their names are broadcast rather than shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
-def _copy_codes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """row, tag, code (the SimHash of the shingles), blocks (of the SimHash of the words)."""
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's five-word shingles; a shorter text is one shingle, an empty one has none."""
+    words: dict[bytes, int] = {}
+    out: list[np.ndarray] = []
+    for a, b in chunks([len(t) for t in texts], 1_000_000):
+        hashes, n = [], []
+        for i in range(a, b):
+            own = texts[i].encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only
+            n.append(len(own))
+            for w in own:
+                h = words.get(w)
+                if h is None:
+                    h = words[w] = xxhash.xxh64_intdigest(w, SEED)
+                hashes.append(h)
+        if len(words) > 1_000_000:
+            words.clear()
+        word = np.array(hashes, np.uint64)
+        rolled = word.copy()
+        for k in range(1, SHINGLE):  # rolled[i]: words i to i + k
+            rolled = mix(rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[k:]) if len(rolled) else rolled
+        at = 0
+        for size in n:
+            if size >= SHINGLE:
+                out.append(np.unique(rolled[at : at + size - SHINGLE + 1]))
+            elif size:
+                h = np.full(1, size, np.uint64)
+                for k in range(size):
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word[at + k])
+                out.append(h)
+            else:
+                out.append(np.zeros(0, np.uint64))
+            at += size
+    return out
+
+
+def _frequent(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, class) of frequent shingles, ascending. It sets the order of prefixes, so it bears on cost and not on results."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            code = codes(texts, SHINGLE, CODE, distinct=True)
-            blocks = codes(texts, 1, BLOCKS // 4, distinct=True).view(np.int16).reshape(-1)
-            off = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BLOCKS)
-            yield pa.record_batch([*batch.columns[:2], pa.array([c.tobytes() for c in code], pa.binary()), pa.ListArray.from_arrays(off, pa.array(blocks))], ["row", "tag", "code", "blocks"])
+            sets = shingle_sets(batch.column(0).to_pylist())
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["s"])
+
+    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(whole_text(text).alias("text")).distinct()
+    counts = some.mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    rows = counts.orderBy(F.desc("n"), "s").limit(HOT).toPandas()
+    shingle, level = rows["s"].to_numpy(np.int64).view(np.uint64), np.log2(rows["n"].to_numpy(np.float64)).astype(np.int64) + 1
+    order = np.argsort(shingle)
+    return shingle[order], level[order]
+
+
+def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n // 5 + 1 of a set of n, by ascending frequency, then hash: sets of similarity 4/5 share one of these."""
+    if len(frequent[0]) and len(s):
+        i = np.minimum(np.searchsorted(frequent[0], s), len(frequent[0]) - 1)
+        level = np.where(frequent[0][i] == s, frequent[1][i], 0)
+        s = s[np.argsort(level, kind="stable")]
+    return s[: len(s) // 5 + 1]
 
-    return docs.select(*identity(docs, key, text), whole_text(text).alias("text")).mapInArrow(run, "row bigint, tag int, code binary, blocks array<smallint>")
+
+def _copy_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row, tag, id (a hash of the set), n (its size), prefix, parity."""
+    index = shared(docs.sparkSession, _frequent(docs, key, text))
+
+    def run(batches):
+        frequent = index()
+        for batch in batches:
+            sets = shingle_sets(batch.column(2).to_pylist())
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            prefix = pa.array([_prefix(s, frequent).tobytes() for s in sets], pa.binary())
+            n = pa.array([len(s) for s in sets], pa.int32())
+            parity = pa.array([p.tobytes() for p in _parity(sets)], pa.binary())
+            yield pa.record_batch([*batch.columns[:2], pa.array(ids), n, prefix, parity], ["row", "tag", "id", "n", "prefix", "parity"])
+
+    return docs.select(*identity(docs, key, text), whole_text(text).alias("text")).mapInArrow(run, "row bigint, tag int, id bigint, n int, prefix binary, parity binary")
 
 
 def _copy_shards(nodes: DataFrame, most: int) -> DataFrame:
-    """(shard, id, code). A shard over `most` is dealt again by each of its NEXT following blocks, until all blocks are used."""
-    names = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    rows = nodes.select("id", "code", "blocks", names.alias("block")).withColumn("shard", F.xxhash64("block", F.get("blocks", F.col("block"))))
-    done = None
-    for _ in range(BLOCKS // NEXT):
-        hot = cut(rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("shard"))
-        if hot.isEmpty():
-            break
-        cold = rows.join(hot, "shard", "left_anti").select("shard", "id", "code")
-        done = cold if done is None else done.union(cold)
-        again = rows.join(hot, "shard", "left_semi").select("id", "code", "blocks", F.col("shard").alias("old"), F.explode(F.sequence(F.col("block") + 1, F.col("block") + NEXT)).alias("b"))
-        again = again.withColumn("block", F.col("b") % BLOCKS)
-        rows = again.select("id", "code", "blocks", "block", F.xxhash64("old", "block", F.get("blocks", F.col("block"))).alias("shard"))
-    last = rows.select("shard", "id", "code")
-    return last if done is None else done.union(last)
+    """(shard, id): every two sets (id, n, prefix) of similarity 4/5 share a shard; shards have `most` members at most.
+
+    A shard is the members of one shingle's group. Equal groups are one shard. A group over `most` becomes all pairs
+    of blocks of its members by size that hold sets of comparable sizes.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            prefix = batch.column(2).to_pylist()
+            n = np.array([len(p) // 8 for p in prefix], np.int64)
+            token = np.frombuffer(b"".join(prefix), np.int64)
+            yield pa.record_batch([pa.array(token), pa.array(np.repeat(batch.column(1).to_numpy(), n)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["s", "n", "id"])
+
+    def deal(batches):
+        for table in whole_groups(batches, FOREST):
+            s, n, ids = (c.to_numpy() for c in table.columns)
+            n = n.astype(np.int64)
+            # only sets with a neighbour of comparable size in their group; a gap ends the group
+            near = (s[1:] == s[:-1]) & (4 * n[1:] <= 5 * n[:-1])
+            first = np.concatenate([[True], ~near])
+            size = np.diff(np.append(np.flatnonzero(first), len(s)))
+            on = np.repeat(size > 1, size)
+            n, ids, first, size = n[on], ids[on], first[on], size[size > 1]
+            if not len(ids):
+                continue
+            starts = np.flatnonzero(first)
+            name = mix(np.add.reduceat(mix(ids.view(np.uint64)), starts) + size.astype(np.uint64))
+            small = np.repeat(size <= most, size)
+            out = [(np.repeat(name, size)[small], ids[small])]
+            for g in np.flatnonzero(size > most).tolist():
+                a, step = int(starts[g]), max(1, most // 2)
+                cuts = list(range(a, a + int(size[g]), step)) + [a + int(size[g])]
+                for i in range(len(cuts) - 1):
+                    for j in range(i + 1, len(cuts) - 1):
+                        if j > i + 1 and 4 * n[cuts[j]] > 5 * n[cuts[i + 1] - 1]:
+                            break
+                        own = np.concatenate([ids[cuts[i] : cuts[i + 1]], ids[cuts[j] : cuts[j + 1]]])
+                        block = mix(name[g : g + 1] + np.uint64(i * len(cuts) + j + 1))
+                        out.append((np.repeat(block, len(own)), own))
+                    if sum(len(x[0]) for x in out) > 1_000_000:
+                        yield _pairs_batch(out)
+                        out = []
+            if out:
+                yield _pairs_batch(out)
+
+    each = nodes.select("id", "n", "prefix").mapInArrow(rows, "s bigint, n int, id bigint")
+    return each.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(deal, "shard bigint, id bigint").distinct()
+
+
+def _pairs_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    shard, ids = (np.concatenate(x) for x in zip(*parts))
+    return pa.record_batch([pa.array(shard.view(np.int64)), pa.array(ids)], ["shard", "id"])
+
+
+def _parity(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, PARITY / 64) uint64. Two sketches differ in no more bits than the sets differ in members."""
+    out = []
+    for a, b in chunks([len(s) + PARITY for s in sets], 4_000_000):
+        bit = np.concatenate([(s & np.uint64(PARITY - 1)).astype(np.int64) for s in sets[a:b]])
+        own = np.repeat(np.arange(b - a), [len(s) for s in sets[a:b]])
+        odd = np.bincount(own * PARITY + bit, minlength=(b - a) * PARITY).reshape(b - a, PARITY) & 1
+        out.append(np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64))
+    return np.concatenate(out)
+
+
+def _possible(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of those sizes and sketches can have similarity 4/5, in which case they differ in (n + m) / 9 members at most."""
+    out = 4 * np.maximum(n[a], n[b]) <= 5 * np.minimum(n[a], n[b])
+    a, b = a[out], b[out]
+    out[out] = 9 * np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= n[a] + n[b]
+    return out
 
 
-def _copy_links(radius: int):
-    def search(table):
+def _likely(batches):
+    """Rows (shard, id, n, parity) clustered by shard. (shard, id) of sets with a possible partner in their shard; equal groups are one shard."""
+    for table in whole_groups(batches, FOREST):
+        shard, ids, n = (table.column(c).to_numpy() for c in range(3))
+        n = n.astype(np.int64)
+        sketch = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        marked = np.zeros(len(ids), bool)
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        end = np.repeat(np.append(first[1:], len(shard)), np.diff(np.append(first, len(shard))))
+        i, step = np.arange(len(shard)), 1
+        while len(i):
+            i = i[i + step < end[i]]
+            a = i[~(marked[i] & marked[i + step])]
+            on = _possible(sketch, n, a, a + step)
+            marked[a[on]] = marked[a[on] + step] = True
+            step += 1
+        shard, ids = shard[marked], ids[marked]
+        if len(ids):
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            size = np.diff(np.append(first, len(shard)))
+            name = mix(np.add.reduceat(mix(ids.view(np.uint64)), first) + size.astype(np.uint64))
+            yield _pairs_batch([(np.repeat(name, size), ids)])
+
+
+def _copy_links(batches):
+    """Rows (shard, id, shingles) clustered by shard. (a, b): links that give the components of all similar pairs of each shard."""
+    for table in whole_groups(batches, SETS):
         shard, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-        many = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-        size = np.diff(many)
-        on = np.repeat(size > 1, size)
-        code = np.frombuffer(b"".join(table.column(2).filter(pa.array(on)).to_pylist()), np.uint64).reshape(-1, CODE)
-        shard, ids = shard[on], ids[on]
-        label = Forest(code, shard).linked(radius)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.record_batch([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
+        distinct, where, code = np.unique(ids, return_index=True, return_inverse=True)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column(2).take(pa.array(where)).to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        sketch = _parity(sets)
+        members: dict[int, frozenset] = {}
+        up = np.arange(len(sets))
+        out: list[tuple[int, int]] = []
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def member(x: int) -> frozenset:
+            if x not in members:
+                members[x] = frozenset(sets[x].tolist())
+            return members[x]
+
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        end = np.repeat(np.append(first[1:], len(shard)), np.diff(np.append(first, len(shard))))
+        i, step = np.arange(len(shard)), 1
+        while len(i):
+            i = i[i + step < end[i]]
+            a, b = code[i], code[i + step]
+            on = up[a] != up[b]
+            a, b = a[on], b[on]
+            if len(a):
+                on = _possible(sketch, n, a, b)
+                found = False
+                for x, y in zip(a[on].tolist(), b[on].tolist()):
+                    p, q = find(x), find(y)
+                    if p != q and 9 * len(member(x) & member(y)) >= 4 * (len(sets[x]) + len(sets[y])):
+                        up[max(p, q)] = min(p, q)
+                        out.append((x, y))
+                        found = True
+                if found:
+                    while (up[up] != up).any():
+                        up[:] = up[up]
+            step += 1
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.record_batch([pa.array(distinct[ends[:, 0]]), pa.array(distinct[ends[:, 1]])], ["a", "b"])
+
+
+def _with_sets(docs: DataFrame, key: str, text: str, need: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents (row, tag, id) that need names."""
 
     def run(batches):
-        for table in whole_groups(batches, FOREST):
-            yield search(table)
+        for batch in batches:
+            sets = shingle_sets(batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
-    return run
+    need = cut(need)
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    rows = docs.select(*identity(docs, key, text), whole_text(text).alias("text")).join(need, ["row", "tag"])
+    return rows.select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id bigint, shingles binary")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, tag) of the documents that go: all but the first of each group of texts whose estimated similarity is 0.8 or more.
+    """(row, tag) of the documents that go: all but the first of each group of texts whose similarity is 0.8 or more.
 
-    Similarity is the Jaccard similarity of the sets of five-word shingles, as their 512-bit SimHash estimates it.
+    Similarity is the Jaccard similarity of the sets of five-word shingles (as 64-bit hashes). A prefix filter finds candidates
+    and loses none; each link is one whose sets were compared. Groups are the components of the links.
     """
-    prints = stored(_copy_codes(docs, key, text), "copies").withColumn("id", F.xxhash64("code"))
-    nodes = prints.groupBy("id").agg(F.first("code").alias("code"), F.first("blocks").alias("blocks"), F.min(F.struct("row", "tag")).alias("least"))
-    dealt = _copy_shards(nodes.select("id", "code", "blocks"), SHARD)
-    found = dealt.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(_copy_links(RADIUS), "a bigint, b bigint")
+    prints = stored(_copy_prints(docs, key, text), "copies")
+    nodes = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    dealt = cut(_copy_shards(nodes, SHARD))
+    sketches = prints.join(dealt.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    light = dealt.join(sketches, "id").select("shard", "id", "n", "parity").repartition("shard").sortWithinPartitions("shard", "id")
+    dealt = cut(light.mapInArrow(_likely, "shard bigint, id bigint").distinct())
+    leasts = prints.groupBy("id").agg(F.min(F.struct("row", "tag")).alias("least"))
+    need = leasts.join(dealt.select("id").distinct(), "id", "left_semi").select("id", "least.row", "least.tag")
+    sets = _with_sets(docs, key, text, need)
+    held = dealt.join(sets, "id").select("shard", "id", "shingles")
+    found = held.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(_copy_links, "a bigint, b bigint")
     roots = components(found)
-    placed = nodes.select("id", "least").join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    placed = leasts.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("first"))
     every = prints.select("id", "row", "tag").join(placed.join(named, "root").select("id", "first"), "id")
     return every.filter(F.struct("row", "tag") != F.col("first")).select("row", "tag").distinct()

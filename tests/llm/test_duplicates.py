@@ -167,3 +167,37 @@ def test_lines_against_brute_force(spark):
     left = line_dedup.deduplicated(edge_frame(spark, rows))
     assert left.columns == edge_frame(spark).columns and left.count() == sum(1 for d, t in rows if want[d].strip() or want[d] == (t or ""))
     assert line_dedup.deduplicated(edge_frame(spark)).count() > 0 and line_dedup.deduplicated(edge_frame(spark, empty=True)).count() == 0
+
+
+def copies_wanted(rows):
+    """Ids that stay, by the exact Jaccard similarity of five-word shingles of all pairs."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in (t.lower().split() for _, t in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    label = roots(len(rows), pairs)
+    return sorted(rows[i][0] for i in range(len(rows)) if label[i] == i), pairs
+
+
+def passages(rnd, n=60, cuts=(0.03, 0.3)):
+    """Texts with a shortened, an extended and a replaced passage, at similarities on both sides of 0.8."""
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randint(0, 400))
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(rnd.randint(8, 250))]
+        k = max(1, int(len(w) * rnd.uniform(*cuts)))
+        at = rnd.randrange(len(w) - k + 1)
+        for j, x in enumerate((w, w[:-k], [*w, *(word() for _ in range(k))], [*w[:at], *(word() for _ in range(k)), *w[at + k :]])):
+            rows.append((10 * i + j, " ".join(x)))
+    return rows
+
+
+def test_small_shards_lose_no_copy(spark, monkeypatch):
+    rnd = random.Random(12)
+    common = " ".join(f"common{i}" for i in range(90))
+    rows = passages(rnd, 30) + [(1000 + i, f"{common} {' '.join(f'w{rnd.randint(0, 99)}' for _ in range(rnd.randint(5, 30)))}") for i in range(60)]
+    rows += [(2000 + i, mutated(rnd, common, rnd.randint(1, 12))) for i in range(60)]
+    want, _ = copies_wanted(rows)
+    nodes = simhash._copy_prints(edge_frame(spark, rows), "doc_id", "text").dropDuplicates(["id"])
+    assert simhash._copy_shards(nodes, 6).groupBy("shard").count().agg(F.max("count")).first()[0] <= 6
+    for most in (6, 4096):
+        monkeypatch.setattr(simhash, "SHARD", most)
+        assert sorted(r.doc_id for r in simhash.without_copies(edge_frame(spark, rows)).collect()) == want
