@@ -190,6 +190,13 @@ def passages(rnd, n=60, cuts=(0.03, 0.3)):
     return rows
 
 
+def test_near_copies_of_passages(spark):
+    rows = passages(random.Random(11))
+    want, pairs = copies_wanted(rows)
+    assert len(pairs) > 60
+    assert sorted(r.doc_id for r in simhash.without_copies(edge_frame(spark, rows)).collect()) == want
+
+
 def test_small_shards_lose_no_copy(spark, monkeypatch):
     rnd = random.Random(12)
     common = " ".join(f"common{i}" for i in range(90))
