@@ -208,3 +208,15 @@ def test_small_shards_lose_no_copy(spark, monkeypatch):
     for most in (6, 4096):
         monkeypatch.setattr(simhash, "SHARD", most)
         assert sorted(r.doc_id for r in simhash.without_copies(edge_frame(spark, rows)).collect()) == want
+
+
+def test_copies_below_similarity_stay(spark):
+    rnd = random.Random(13)
+    rows = []
+    for i in range(60):
+        w = [f"{i}w{rnd.randint(0, 999)}" for _ in range(rnd.choice((10, 60, 300)))]
+        k = 1 + (len(w) - 4) * 5 // 4 - (len(w) - 4)  # words added, so that similarity is a little under 0.8
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, *(f"{i}x{j}" for j in range(k))]))]
+    want, pairs = copies_wanted(rows)
+    assert not pairs and want == [i for i, _ in rows]
+    assert sorted(r.doc_id for r in simhash.without_copies(edge_frame(spark, rows)).collect()) == want
