@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen before, exactly or within two edits, go; so do documents that have no other line."""
-    return line_dedup.deduplicated(docs)
+    """Lines seen before, exactly or within two edits (one for short lines), go; so do documents that have no other line."""
+    return line_dedup.deduplicated(docs, minimum=1)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

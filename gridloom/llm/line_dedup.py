@@ -1,7 +1,8 @@
 """Line deduplication over all documents, exact and within EDITS edits.
 
-Lines are trimmed of white space; those under MINIMUM characters are left alone. Equal lines are one class. For near lines, a
-line is cut into EDITS + 1 segments: lines within EDITS edits share a segment of the shorter one, at nearly its place. So
+Lines are trimmed of white space. Equal lines are one class; below `minimum` characters (1 in op9 and the pipeline: all lines that hold
+a letter or digit) they are left alone. Lines are near within EDITS edits, or one edit if the shorter has MINIMUM to NEAR - 1 characters.
+For near lines, a line is cut into EDITS + 1 segments (two for one edit): lines within EDITS edits share a segment of the shorter one, at nearly its place. So
 each line is indexed by its segments, and probes, for each length up to EDITS below its own, the substrings that could be
 a segment of such a line. Lines that meet at a signature are first held against each other by counts of character
 classes (EDITS edits change 2 * EDITS counts at most), then by a banded bit-parallel edit distance. Components of
@@ -27,7 +28,7 @@ from gridloom.llm.common import cut, identity, stored, whole_groups, whole_text
 from gridloom.llm.components import components
 from gridloom.llm.rolling import Hashes, mix
 
-MINIMUM, NEAR, EDITS = 20, 40, 2  # characters of a line that can go; of one that is joined by edits; edits
+MINIMUM, NEAR, EDITS = 20, 40, 2  # characters of a line that is joined by one edit; by EDITS edits; edits
 #: Lines that a task remembers to have given signatures for, so repeated lines are shuffled once a task.
 REMEMBERED = 500_000
 #: Keys of needed lines (8 bytes each) up to which they are broadcast rather than shuffled.
@@ -37,9 +38,9 @@ ROWS = 100_000
 CLASSES = 15
 
 
-def segments(size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, length) of the EDITS + 1 segments of lines of that many characters; the later ones take the remainder."""
-    parts = EDITS + 1
+def segments(size: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(start, length) of the edits + 1 segments of lines of that many characters; the later ones take the remainder."""
+    parts = edits + 1
     base, rest = size // parts, size % parts
     out, start = [], np.zeros_like(size)
     for i in range(parts):
@@ -49,8 +50,8 @@ def segments(size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line number, signature, sketch) of all segments and probes of lines."""
+def signatures(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, signature, sketch) of all segments and probes of lines. A signature is odd if it is for one edit."""
     size = np.array([len(x) for x in lines], np.int64)
     text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     first = np.cumsum(size) - size
@@ -61,15 +62,15 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def add(of, part, start, length, total):
         h = hashes.of(first[of] + start, first[of] + start + length)
         number.append(of)
-        found.append(mix(h ^ mix((total * 8 + part).astype(np.uint64))))
+        found.append(mix(h ^ mix((total * 8 + part).astype(np.uint64))) & ~np.uint64(1) | np.uint64(edits < EDITS))
 
-    for i, (start, length) in enumerate(segments(size)):
+    for i, (start, length) in enumerate(segments(size, edits)):
         add(every, i, start, length, size)
-    for less in range(EDITS + 1):
+    for less in range(edits + 1):
         total = size - less
-        for i, (start, length) in enumerate(segments(total)):
-            # the i edits at most before it, and EDITS - i after it, bound where the segment can stand
-            for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
+        for i, (start, length) in enumerate(segments(total, edits)):
+            # the i edits at most before it, and edits - i after it, bound where the segment can stand
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 at = start + shift
                 on = every[(at >= 0) & (at + length <= size)]
                 if less or shift:  # else it is the line's own segment
@@ -83,25 +84,42 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, np.concatenate(found).view(np.int64), sketch[number].view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sketches allow EDITS edits."""
+def signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """signatures() of each line for the edits its length allows; lines of NEAR characters can have a shorter partner as well."""
+    size = np.array([len(x) for x in lines], np.int64)
+    parts = []
+    for own, edits in ((np.flatnonzero(size >= NEAR), EDITS), (np.flatnonzero(size <= NEAR), 1)):
+        if len(own):
+            number, sign, sketch = signatures([lines[i] for i in own], edits)
+            parts.append((own[number], sign, sketch))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def allowed(sign: np.ndarray) -> np.ndarray:
+    """The edits that a signature is for."""
+    return EDITS - (sign & 1) * (EDITS - 1)
+
+
+def alike(a: np.ndarray, b: np.ndarray, edits=EDITS) -> np.ndarray:
+    """Whether sketches allow that many edits."""
     x, y = a.view(np.uint64), b.view(np.uint64)
     total = np.zeros(len(x), np.int64)
     for c in range(1, CLASSES + 1):
         d = (((x >> np.uint64(4 * c)) - (y >> np.uint64(4 * c))) & np.uint64(15)).astype(np.int64)
         total += np.minimum(d, 16 - d)
     d = ((x - y) & np.uint64(15)).astype(np.int64)
-    return (total <= 2 * EDITS) & (np.minimum(d, 16 - d) <= EDITS)
+    return (total <= 2 * edits) & (np.minimum(d, 16 - d) <= edits)
 
 
-def within(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the lines of each pair are within EDITS edits, by a banded bit-parallel automaton.
+def within(lines: list[str], a: np.ndarray, b: np.ndarray, edits: np.ndarray | None = None) -> np.ndarray:
+    """Whether the lines of each pair are within EDITS edits, or their own number of `edits` if given, by a banded bit-parallel automaton.
 
     Bit d of state e says that, after j characters of b, the first j + d - EDITS characters of a are reached with e edits at
     most. A step of one character moves all diagonals and all pairs at once.
     """
     size = np.array([len(x) for x in lines], np.int64)
     out = np.zeros(len(a), bool)
+    edits = np.full(len(a), EDITS) if edits is None else edits
     todo = np.flatnonzero(np.abs(size[a] - size[b]) <= EDITS)
     todo = todo[np.argsort(size[b[todo]], kind="stable")]
     band = np.uint8((1 << (2 * EDITS + 1)) - 1)
@@ -126,7 +144,8 @@ def within(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 new.append(((state[e] & match) | state[e - 1] | (state[e - 1] >> np.uint8(1)) | (new[e - 1] << np.uint8(1))) & band)
             state = new
             if (ended := last == j + 1).any():
-                out[own[ended]] = (state[EDITS][ended] >> goal[ended]) & 1 == 1
+                reached = np.array(state)[edits[own[ended]], np.flatnonzero(ended)]
+                out[own[ended]] = (reached >> goal[ended]) & 1 == 1
             elif j % 16 == 15 and not state[EDITS].any():
                 break
     return out
@@ -148,7 +167,7 @@ def _signature_rows(lines: DataFrame) -> DataFrame:
                     new.append(i)
             for k in range(0, len(new), 4000):
                 own = np.array(new[k : k + 4000])
-                number, sign, sketch = signatures(batch.column(1).take(pa.array(own)).to_pylist())
+                number, sign, sketch = signed(batch.column(1).take(pa.array(own)).to_pylist())
                 yield pa.record_batch([pa.array(sign), pa.array(h[own][number]), pa.array(sketch)], ["sign", "h", "sketch"])
 
     return lines.mapInArrow(run, "sign bigint, h bigint, sketch bigint")
@@ -181,7 +200,7 @@ def _likely(signs: DataFrame) -> DataFrame:
             def mark(i, j):
                 on = ~(marked[i] & marked[j])
                 i, j = i[on], j[on]
-                good = alike(sketch[i], sketch[j])
+                good = alike(sketch[i], sketch[j], allowed(sign[i]))
                 marked[i[good]] = marked[j[good]] = True
 
             _shifted(sign, mark)
@@ -202,7 +221,7 @@ def _links(members: DataFrame) -> DataFrame:
             lines = table.column(2).take(pa.array(where)).to_pylist()
             sketch = np.zeros(len(lines), np.int64)
             for k in range(0, len(lines), 4000):
-                number, _, s = signatures(lines[k : k + 4000])
+                number, _, s = signed(lines[k : k + 4000])
                 sketch[k + number] = s
             up = np.arange(len(lines))
             out: list[tuple[int, int]] = []
@@ -214,15 +233,16 @@ def _links(members: DataFrame) -> DataFrame:
                 return x
 
             def link(i, j):
-                a, b = code[i], code[j]
+                a, b, edits = code[i], code[j], allowed(sign[i])
                 on = up[a] != up[b]
-                a, b = a[on], b[on]
-                on = alike(sketch[a], sketch[b])
+                a, b, edits = a[on], b[on], edits[on]
+                on = alike(sketch[a], sketch[b], edits)
                 if not on.any():
                     return
-                pair = np.unique(np.minimum(a, b)[on] * len(lines) + np.maximum(a, b)[on])
+                pair = np.unique((np.minimum(a, b)[on] * len(lines) + np.maximum(a, b)[on]) * (EDITS + 1) + edits[on])
+                pair, edits = pair // (EDITS + 1), pair % (EDITS + 1)
                 a, b = pair // len(lines), pair % len(lines)
-                good = within(lines, a, b)
+                good = within(lines, a, b, edits)
                 for x, y in zip(a[good].tolist(), b[good].tolist()):
                     s, t = find(x), find(y)
                     if s != t:
@@ -242,16 +262,16 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(*identity(docs, key, text), whole_text(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]).alias("all"))
 
 
-def _lines(base: DataFrame, *more: Column) -> DataFrame:
+def _lines(base: DataFrame, minimum: int, *more: Column) -> DataFrame:
     each = base.select("row", "tag", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     line = F.btrim("line", F.lit(" \t\r\x0b\x0c"))
-    return each.select("row", "tag", "at", line.alias("line")).filter(F.char_length("line") >= MINIMUM).select(F.xxhash64("line").alias("h"), "row", "tag", "at", *more)
+    return each.select("row", "tag", "at", line.alias("line")).filter(F.char_length("line") >= minimum).filter((F.char_length("line") >= MINIMUM) | F.col("line").rlike(r"[\p{L}\p{N}]")).select(F.xxhash64("line").alias("h"), "row", "tag", "at", *more)
 
 
-def line_classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_classes(base: DataFrame, minimum: int = MINIMUM) -> tuple[DataFrame, DataFrame]:
     """(lines: h, row, tag, at of every line; classes: h, class and the class's first line) - the latter for lines that have others."""
-    lines = stored(_lines(base), "lines")
-    texts = _lines(base, F.col("line")).filter(F.char_length("line") >= NEAR).select("h", "line")
+    lines = stored(_lines(base, minimum), "lines")
+    texts = _lines(base, MINIMUM, F.col("line")).select("h", "line")
     likely = cut(_likely(_signature_rows(texts)).distinct())
     need = likely.select("h").distinct()
     if need.count() <= BROADCAST_ROWS:
@@ -264,27 +284,27 @@ def line_classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines, placed.select("h", "class").join(whole, "class").select("h", "class", "first")
 
 
-def removals(base: DataFrame) -> DataFrame:
+def removals(base: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     """(row, tag, gone array<int>): positions of the lines that go, of documents that lose some."""
-    lines, classes = line_classes(base)
+    lines, classes = line_classes(base, minimum)
     here = F.struct("row", "tag", "at")
     gone = lines.join(classes, "h").filter(here != F.col("first")).select("row", "tag", "at")
     return gone.groupBy("row", "tag").agg(F.collect_set("at").alias("gone"))
 
 
-def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """all (struct of the input's columns), kept (text that stays), n_lines, n_removed."""
+def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", minimum: int = MINIMUM) -> DataFrame:
+    """minimum: characters of a line that can go. all (struct of the input's columns), kept (text that stays), n_lines, n_removed."""
     base = _documents(docs, key, text)
-    joined = base.join(removals(base.select("row", "tag", "text")), ["row", "tag"], "left")
+    joined = base.join(removals(base.select("row", "tag", "text"), minimum), ["row", "tag"], "left")
     parts = F.split("text", "\n")
     keep = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
     return joined.select("all", kept.alias("kept"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", minimum: int = MINIMUM) -> DataFrame:
     """docs with their texts cut (n_chars, if there, as well); documents that lose all their words are left out."""
-    out = kept_lines(docs, key, text).filter("n_removed = 0 OR kept RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = kept_lines(docs, key, text, minimum).filter("n_removed = 0 OR kept RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     changed = F.col("n_removed") > 0
     cols = []
     for i, c in enumerate(docs.columns):
@@ -296,4 +316,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return kept_lines(docs.select("doc_id", "text")).select(F.col("all._0").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept_lines(docs.select("doc_id", "text"), minimum=1).select(F.col("all._0").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

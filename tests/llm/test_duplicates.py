@@ -220,3 +220,24 @@ def test_copies_below_similarity_stay(spark):
     want, pairs = copies_wanted(rows)
     assert not pairs and want == [i for i, _ in rows]
     assert sorted(r.doc_id for r in simhash.without_copies(edge_frame(spark, rows)).collect()) == want
+
+
+def test_short_lines_against_brute_force(spark):
+    rnd = random.Random(14)
+    pool = ["short", "12", "--", "• •", "é", "Ietzte."]
+    for size in (8, 19, 20, 21, 25, 30, 38, 39, 40, 41, 42):
+        for _ in range(4):
+            s = "x" + "".join(rnd.choice("abcde ") for _ in range(size - 2)) + "y"
+            pool += [s, *(mutated(rnd, s[1:-1], rnd.randint(0, 3), "abc").join("xy") for _ in range(3))]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 7)))) for i in range(120)]
+    word = re.compile(r"[^\W_]")
+    can = lambda x: len(x) >= 20 or word.search(x)
+    lines = [(d, p, x.strip()) for d, t in rows for p, x in enumerate(t.split("\n")) if can(x.strip())]
+    distinct = sorted({x for _, _, x in lines})
+    near = lambda x, y: min(len(x), len(y)) >= 20 and edits(x, y) <= (1 if min(len(x), len(y)) < 40 else 2)
+    label = dict(zip(distinct, roots(len(distinct), [(i, j) for i, x in enumerate(distinct) for j in range(i) if abs(len(x) - len(distinct[j])) < 3 and near(x, distinct[j])])))
+    first: dict = {}
+    for d, p, x in lines:
+        first.setdefault(label[x], (d, p))
+    want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if not can(x.strip()) or first[label[x.strip()]] == (d, p)) for d, t in rows}
+    assert {r["all"]["_0"]: r.kept for r in line_dedup.kept_lines(edge_frame(spark, rows), minimum=1).collect()} == want
