@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are compared lower-cased, with each run of white space as one space. An item is cut into overlapping
-windows of WINDOW characters (a shorter item is one window). A window of w characters leaks into a text if a substring of the text
+windows of WINDOW characters (a shorter item is one window), so a verbatim passage of WINDOW + STRIDE - 1 characters holds a whole one. A window of w characters leaks into a text if a substring of the text
 is within k = w // EDITS edits of it. Then at least w + 1 - q (k + 1) of the window's q-grams stand in the
 text, on diagonals that differ by k at most. So shared q-grams are counted in overlapping bands of diagonals, the
 bands that reach that bound are kept, and a banded alignment of the window with the band's region decides.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import chunks, identity, ragged, shared, whole_text
 
-WINDOW, STRIDE, Q, EDITS, MINIMUM = 80, 20, 8, 12, 40
+WINDOW, STRIDE, Q, EDITS, MINIMUM = 50, 5, 8, 12, 40
 #: Characters of benchmark items that one block of the query set holds, about.
 BLOCK_CHARS = 500_000
 STEP_CHARS = 1_000_000

@@ -196,3 +196,20 @@ def test_html(spark):
     assert len(html_text.extract(odd, trees)) == len(odd) and html_text.extract([""], trees) == [""]
     frame = spark.createDataFrame([(1, "u", None, "z"), (1, "u", None, "z"), (None, None, "<p>x", "z")], "page_id bigint, url string, html string, text string")
     assert html_text.main_text(frame).count() == 3 and html_text.main_text(frame.limit(0)).count() == 0
+
+
+def test_passages_of_items_are_found():
+    rnd = random.Random(15)
+    items = [(i, t) for i, t in ((i, decontaminate.normal(t)) for i, t in texts("benchmark", key="item_id")) if len(t) > 150]
+    filler = " ".join(f"{rnd.choice('qxz')}{rnd.randint(0, 9999)}" for _ in range(60))
+    docs, want = [], []
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        for _ in range(4):
+            at = rnd.randrange(max(1, len(w) - 12))
+            p = " ".join(w[at : at + 13])
+            if len(p) >= 54:
+                want.append((len(docs), i))
+                docs.append(f"{filler} {p} {filler}")
+    assert len(want) > 20 and sum(len(d) - 2 * len(filler) < 80 for d in docs) > 5
+    assert set(want) <= {(f[0], f[1]) for f in decontaminate.leaks_in(docs, decontaminate.Windows(items))}
