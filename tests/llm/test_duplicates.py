@@ -241,3 +241,79 @@ def test_short_lines_against_brute_force(spark):
         first.setdefault(label[x], (d, p))
     want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if not can(x.strip()) or first[label[x.strip()]] == (d, p)) for d, t in rows}
     assert {r["all"]["_0"]: r.kept for r in line_dedup.kept_lines(edge_frame(spark, rows), minimum=1).collect()} == want
+
+
+def line_wanted(lines):
+    """Least line of the class of each of the distinct lines, by the edit distance of all pairs."""
+    near = lambda x, y: min(len(x), len(y)) >= 20 and edits(x, y) <= (1 if min(len(x), len(y)) < 40 else 2)
+    pairs = [(i, j) for i, x in enumerate(lines) for j in range(i) if abs(len(x) - len(lines[j])) < 3 and near(x, lines[j])]
+    return roots(len(lines), pairs), pairs
+
+
+def test_hot_signatures_are_dealt_again(spark, monkeypatch):
+    rnd = random.Random(21)
+    lines = set()
+    for k in range(60):  # one prefix, one suffix, and a middle; some near each other
+        own = "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(9, 14)))
+        for _ in range(3):
+            lines.add(f"Copyright (c) 2020 by {mutated(rnd, own, rnd.randint(0, 3), 'abcdefghij')}. All rights reserved.")
+        lines.add(f"Page {k:02d} of the catalogue {rnd.randint(0, 9)}")  # of 20 to 39 characters
+        lines.add(f"Entry number {rnd.randint(0, 99):02d}-{rnd.randint(0, 99):02d} in the catalogue of the museum")
+        lines.add("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" + "b" * rnd.randint(0, 3) + "c" * rnd.randint(0, 2) + rnd.choice("xyz") * rnd.randint(0, 3))
+    lines = sorted(lines)
+    want, pairs = line_wanted(lines)
+    assert len(pairs) > 100
+    for group, local, short in ((4, 2, {1: 6, 2: 3}), (4, 64, {1: 64, 2: 12})):
+        monkeypatch.setattr(line_dedup, "GROUP", group)
+        monkeypatch.setattr(line_dedup, "LOCAL", local)
+        monkeypatch.setattr(line_dedup, "OPEN", short)
+        stay = {r.doc_id for r in line_dedup.deduplicated(edge_frame(spark, list(enumerate(lines))), minimum=1).collect()}
+        assert stay == {i for i, r in enumerate(want) if i == r}, (group, local)
+
+
+def test_dealing_again_keeps_near_lines_together():
+    rnd = random.Random(24)
+    for _ in range(1500):
+        size = rnd.choice((24, 33, 45, 70))
+        a = "".join(rnd.choice("ab") for _ in range(size))
+        b = mutated(rnd, a, rnd.randint(1, 3), "ab")
+        allow = 1 if min(len(a), len(b)) < 40 else 2
+        if edits(a, b) > allow or max(len(a), len(b)) > 40 and allow == 1:
+            continue
+        number, sign, part, at, total, budget = line_dedup.placed_by_size([a, b])
+        start = [(line_dedup.pieces([(0, int(n), 0, 0)], int(e) + 1)[p][1]) for n, e, p in zip(total, budget, part)]
+        rows = [set(), set()]
+        for i, s, p, x, n, e, z in zip(number.tolist(), sign.tolist(), part.tolist(), at.tolist(), total.tolist(), budget.tolist(), start):
+            line = (a, b)[i]
+            if e == allow:
+                rows[i].add((s, bytes((e, len(line) - n, p, x - z + 8)), n == len(line) and x == z))
+        for _ in range(3):  # at every level one row of either is in a group of the other, one of them indexed
+            found = {s for s, _, flag in rows[0] if any(s == t and (flag or other) for t, _, other in rows[1])}
+            assert found, (a, b)
+            rows = [{new for s, path, _ in own if s in found for new in line_dedup.dealt_again(s, line, path)} for own, line in zip(rows, (a, b))]
+            if not rows[0] and not rows[1]:
+                break
+
+
+def test_variants_join_near_lines():
+    rnd = random.Random(22)
+    for _ in range(3000):
+        size = rnd.choice((4, 7))
+        a = "".join(rnd.choice("abc") for _ in range(size))
+        b = mutated(rnd, a, rnd.randint(0, 3), "abc")
+        for k in (1, 2):
+            x, y = (line_dedup.variants(s, k, list(range(len(s)))) for s in (a, b))
+            joined = any(x[v] or y[v] for v in x.keys() & y.keys())
+            assert joined == (edits(a, b) <= k), (a, b, k)
+
+
+def test_a_group_of_one_prefix(spark):
+    """200,000 lines with one prefix: no group is compared pair by pair, and near lines are found."""
+    rnd = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["Copyright (c) 2020 by " + "".join(rnd.choices(letters, k=rnd.randint(20, 34))) for _ in range(200_000)]
+    near = {i: mutated(rnd, lines[i], rnd.randint(1, 2)) for i in range(0, 200_000, 2000)}
+    docs = ["\n".join(lines[i : i + 100]) for i in range(0, 200_000, 100)] + [" " + x for x in near.values()]
+    frame = edge_frame(spark, list(enumerate(docs)))
+    out = {r["all"]["_0"]: r.n_removed for r in line_dedup.kept_lines(frame, minimum=1).collect()}
+    assert all(out[i] == 0 for i in range(2000)) and all(out[2000 + i] == 1 for i in range(len(near)))
