@@ -5,9 +5,14 @@ those whose hash occurs once can be in no repeated string. An anchor's context i
 it can reach. Occurrences with equal contexts prove each other. The different contexts of one anchor are sorted
 together, as one suffix array over the group (with the anchor itself as one symbol, as all contexts have it): neighbours in
 that order with a long enough common prefix are repeated strings. Spans go back to their texts, where they are joined
-and cut out. A group with over GROUP different contexts is dealt again by what its strings hold, one start at a time.
+and cut out.
 
-Texts are shuffled by row, anchors by hash; nothing is collected, and what one task sorts is bounded.
+A suffix array sorts GROUP contexts at most. In a larger group the strings are dealt by where they start: those that take over half of the
+bytes to the left share that half of the left side, the others share half of the right side. So each half is a set of smaller groups of more
+similar contexts, and so on until a group is small or its strings have one start, where contexts are equal or apart.
+
+Texts are shuffled by row, anchors by hash; nothing is collected, and what one task sorts is bounded. An anchor is known by 64 bits of a hash,
+its context by 96 more; the parts of a large group by their bytes.
 
 Defined cases: null and empty texts have no bytes; repeated rows repeat each other's strings; texts shorter than LENGTH keep
 all bytes; an empty table gives an empty table; other columns are ignored.
@@ -22,17 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, identity, stored, whole_text
+from gridloom.llm.common import chunks, cut, identity, stored, whole_text
 from gridloom.llm.rolling import Hashes, mix
 from gridloom.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 200, 120
 SIDE = LENGTH - ANCHOR  # bytes to each side of an anchor that a string can reach
 #: Different contexts of an anchor that one suffix array sorts, at most.
-GROUP = 5000
+GROUP = 400
 #: Bytes hashed at once: few enough for the arrays to stay in a core's cache.
 STEP_BYTES = 60_000
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+OTHER_BYTES = mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -45,13 +51,13 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, position, hash, hash of the context) of the anchors of all texts."""
+    """(text number, position, hash, hash of the context, 32 more bits of it) of the anchors of all texts."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     n, width = len(data), SIDE + 1
     if n < LENGTH or not (sizes >= LENGTH).any():
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none.astype(np.int32)
     starts = np.cumsum(sizes) - sizes
     hashes = Hashes(BYTES[data])
     h = mix(hashes.all_of(ANCHOR)) | np.uint64(1)
@@ -67,8 +73,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     text = np.searchsorted(starts, at, "right") - 1
     left = np.maximum(at - SIDE, starts[text])
     right = np.minimum(at + LENGTH, starts[text] + sizes[text])
-    around = mix(hashes.of(left, right) + ((at - left) * 1024 + (right - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return text, at - starts[text], h[at].view(np.int64), around.view(np.int64)
+    sides = ((at - left) * 1024 + (right - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    around = mix(hashes.of(left, right) + sides)
+    more = mix(Hashes(OTHER_BYTES[data]).of(left, right) + sides) >> np.uint64(32)
+    return text, at - starts[text], h[at].view(np.int64), around.view(np.int64), more.astype(np.uint32).view(np.int32)
 
 
 def _most_shared(parts: list[bytes]) -> list[int]:
@@ -128,15 +136,15 @@ def _anchor_rows(base: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             rows, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found: list[list[np.ndarray]] = [[], [], [], [], []]
+            found: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for a, b in chunks([len(t) for t in texts], STEP_BYTES):
-                text, at, h, around = anchors(texts[a:b])
-                for own, x in zip(found, (h, around, rows[a + text], tags[a + text], at.astype(np.int32))):
+                text, at, h, around, more = anchors(texts[a:b])
+                for own, x in zip(found, (h, around, more, rows[a + text], tags[a + text], at.astype(np.int32))):
                     own.append(x)
             if texts:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], ["h", "around", "row", "tag", "at"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in found], ["h", "around", "more", "row", "tag", "at"])
 
-    return base.mapInArrow(run, "h bigint, around bigint, row bigint, tag int, at int")
+    return base.mapInArrow(run, "h bigint, around bigint, more int, row bigint, tag int, at int")
 
 
 def _context_rows(wanted: DataFrame) -> DataFrame:
@@ -154,12 +162,16 @@ def _context_rows(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "h bigint, proved boolean, row bigint, tag int, at int, before binary, after binary")
 
 
+# A group: an anchor, the least and the most bytes that its strings take to the left, and the bytes that all of them have beside the anchor.
+PLACE = ["h", "low", "high", "core"]
+
+
 def _sorted_groups(contexts: DataFrame) -> DataFrame:
-    """(row, tag, a, b): spans of repeated strings, from the suffix array of each anchor's contexts (clustered by h)."""
+    """(row, tag, a, b): spans of repeated strings, from the suffix array of the contexts of each group (PLACE, before, after, proved and where)."""
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def spans(group):
-        known = [(c[5], c[6], c[1], ((c[2], c[3]), c[4])) for c in group]
+        known = [(c[4], c[5], c[6], ((c[7], c[8]), c[9])) for c in group]
         for c, starts in zip(known, repeated_starts(known)):
             (row, tag), at = c[3]
             starts.sort()
@@ -176,7 +188,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for c in zip(*(x.to_pylist() for x in batch.columns)):
-                if group and group[0][0] != c[0]:
+                if group and group[0][:4] != c[:4]:
                     out += spans(group)
                     group = []
                 group.append(c)
@@ -184,19 +196,40 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         out = list(spans(group)) if group else []
         yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["row", "tag", "a", "b"])
 
-    return contexts.repartition("h").sortWithinPartitions("h", "row", "tag", "at").mapInArrow(run, "row bigint, tag int, a int, b int")
-
-
-def _dealt_groups(contexts: DataFrame) -> DataFrame:
-    """Spans of groups too large for one task: every string is a row, and equal strings of two places are counted."""
-    n_left, n_right = F.length("before"), F.length("after")
-    start = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(SIDE) - n_right), F.least(F.lit(SIDE), n_left)))
-    each = contexts.filter((n_left + n_right) >= SIDE).select("h", "proved", "row", "tag", "at", "before", "after", start.alias("k"))
-    string = F.sha2(F.concat(F.expr("substring(before, length(before) - k + 1, k)"), F.expr(f"substring(after, 1, {SIDE} - k)")), 256)
-    each = each.select("h", "k", string.alias("s"), "proved", "row", "tag", (F.col("at") - F.col("k")).alias("a"))
-    twice = each.groupBy("h", "k", "s").agg(F.max("proved").alias("sure"), F.min(F.struct("row", "tag", "a")).alias("low"), F.max(F.struct("row", "tag", "a")).alias("high"))
-    twice = twice.filter("sure OR low != high").select("h", "k", "s")
-    return each.filter("NOT proved").join(twice, ["h", "k", "s"], "left_semi").select("row", "tag", "a", (F.col("a") + LENGTH).alias("b"))
+    every = contexts.select(*PLACE, "before", "after", "proved", "row", "tag", "at")
+    return every.repartition(*PLACE).sortWithinPartitions(*PLACE, "row", "tag", "at").mapInArrow(run, "row bigint, tag int, a int, b int")
+
+
+def _halves(large: DataFrame) -> DataFrame:
+    """The contexts of groups, once for the strings that take the most bytes to the left and once for the others; cut to what those strings reach."""
+    middle = F.expr("(low + high) div 2").cast("int")
+    ranges = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+    each = large.select("h", "row", "tag", "at", "proved", "before", "after", F.explode(ranges).alias("r")).select("h", "r.low", "r.high", "row", "tag", "at", "proved", "before", "after")
+    first, last = F.greatest("low", F.lit(SIDE) - F.length("after")), F.least("high", F.length("before"))
+    cut_before, cut_after = F.expr("substring(before, -high, high)"), F.expr(f"substring(after, 1, {SIDE} - low)")
+    core = F.concat(F.expr("substring(before, -low, low)"), F.expr(f"substring(after, 1, {SIDE} - high)"))
+    return each.filter(first <= last).select("h", "low", "high", core.alias("core"), "row", "tag", "at", "proved", cut_before.alias("before"), cut_after.alias("after"))
+
+
+def _group_spans(contexts: DataFrame, most: int) -> DataFrame:
+    """(row, tag, a, b): spans of repeated strings; contexts: h, row, tag, at, proved, before, after - each different context of an anchor once."""
+    level = contexts.select("h", F.lit(0).alias("low"), F.lit(SIDE).alias("high"), F.lit(b"").alias("core"), "row", "tag", "at", "proved", "before", "after")
+    found = None
+    while True:
+        sizes = cut(level.groupBy(*PLACE).agg(F.count("*").alias("n"), F.bool_and("proved").alias("all")).filter("n > 1 AND NOT all").select(*PLACE, "n"))
+        small = _sorted_groups(level.join(sizes.filter(F.col("n") <= most), PLACE, "left_semi"))
+        found = small if found is None else found.union(small)
+        hot = sizes.filter((F.col("n") > most) & (F.col("low") < F.col("high")))
+        if hot.isEmpty():
+            return found
+        rows = stored(_halves(level.join(hot, PLACE, "left_semi")), "halves")
+        same = [*PLACE, "before", "after"]
+        kinds = rows.groupBy(*same).agg(F.count("*").alias("m"), F.max("proved").alias("known"), F.min(F.struct("row", "tag", "at")).alias("where"))
+        kinds = stored(kinds.select(*same, "where.*", ((F.col("m") > 1) | F.col("known")).alias("proved")), "kinds")
+        equal = rows.filter("NOT proved").join(kinds.filter("proved").select(*same), same, "left_semi")
+        a, b = F.col("at") - F.length("before"), F.col("at") + ANCHOR + F.length("after")
+        found = found.union(equal.select("row", "tag", a.alias("a"), b.alias("b")))
+        level = kinds
 
 
 def repeated_spans(base: DataFrame, most: int = GROUP) -> DataFrame:
@@ -205,19 +238,19 @@ def repeated_spans(base: DataFrame, most: int = GROUP) -> DataFrame:
     Rows of one (row, tag) have one text, and each counts: their strings repeat each other.
     """
     every = _anchor_rows(base)
-    # Counts with partial sums, so a hot anchor is few rows to one task; the join can split it.
-    again = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Counts with partial sums, so a hot anchor is few rows to one task; the counts are a table of their own, so that the join can split it.
+    again = stored(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
     rows = stored(every.join(again, "h", "left_semi"), "anchors")
-    kinds = stored(rows.groupBy("h", "around").agg(F.count("*").alias("m"), F.min(F.struct("row", "tag", "at")).alias("where")), "contexts")
-    proved = rows.join(kinds.filter("m > 1").select("h", "around"), ["h", "around"], "left_semi")
+    context = ["h", "around", "more"]
+    kinds = stored(rows.groupBy(*context).agg(F.count("*").alias("m"), F.min(F.struct("row", "tag", "at")).alias("where")), "contexts")
+    proved = rows.join(kinds.filter("m > 1").select(*context), context, "left_semi")
     sure = proved.select("row", "tag", (F.col("at") - SIDE).alias("a"), (F.col("at") + LENGTH).alias("b"))
-    groups = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("m").alias("least")).filter("kinds > 1 AND least = 1").select("h", "kinds"), "groups")
+    groups = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("m").alias("least")).filter("kinds > 1 AND least = 1").select("h"), "groups")
     place = F.struct("h", F.col("where.at").alias("at"), (F.col("m") > 1).alias("proved"))
-    asked = kinds.join(groups, "h").select(F.col("where.row").alias("row"), F.col("where.tag").alias("tag"), place.alias("x"))
+    asked = kinds.join(groups, "h", "left_semi").select(F.col("where.row").alias("row"), F.col("where.tag").alias("tag"), place.alias("x"))
     asked = asked.groupBy("row", "tag").agg(F.collect_list("x").alias("asked"))
     contexts = stored(_context_rows(base.join(asked, ["row", "tag"]).select("row", "tag", "asked", "text")), "around")
-    large = groups.filter(F.col("kinds") > most).select("h")
-    found = _sorted_groups(contexts.join(large, "h", "left_anti")).union(_dealt_groups(contexts.join(large, "h", "left_semi")))
+    found = _group_spans(contexts, most)
     return stored(sure.union(found).groupBy("row", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
