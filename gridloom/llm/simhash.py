@@ -7,6 +7,9 @@ as that would compare every code with every other: a tree goes to the queries th
 SHARD members is dealt again by bands of its remaining bits, so shards stay bounded and no link is lost.
 A shard returns one edge a member, to the least member linked with it; components() joins the shards.
 
+near_copies() finds texts by the similarity of their shingles. Its codes are longer and differ in many bits, so bands would not deal them; shards are the
+texts that share one of their rarest shingles. Each shard's BK-tree gives the candidates, whose sets of shingles decide.
+
 Defined cases: null and empty texts have the code zero and are linked like any other; rows that share an id count
 as one document; rows with a null id get a component of null if linked with no other id; an empty
 table gives an empty table; columns other than the id and the text are ignored by fingerprints().
@@ -14,11 +17,12 @@ table gives an empty table; columns other than the id and the text are ignored b
 
 from __future__ import annotations
 
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bktree import Forest
@@ -157,8 +161,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 SHINGLE = 5
 #: One document in SAMPLE is counted to find frequent shingles: those in FREQUENT of them, the HOT most frequent at most.
 SAMPLE, FREQUENT, HOT = 16, 6, 200_000
-#: Bits of the parity sketch that is held against a pair before its sets are; rows of sets handled together.
-PARITY, SETS = 2048, 4096
+#: 64-bit words of a set's SimHash, and the bits that candidates differ in at most. Sets of similarity 4/5 differ in 39 of 256 bits on average, with a
+#: standard deviation of 6 (sets of 4 and 5 shingles in 48), so a link is missed once in 5 million at worst.
+WORDS, RADIUS = 4, 80
+#: Rows of sets handled together.
+SETS = 4096
 #: Documents with a possible partner up to which their names are broadcast rather than shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -223,129 +230,163 @@ def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return s[: len(s) // 5 + 1]
 
 
+def set_codes(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, WORDS) uint64: the SimHash of each set of shingles; zero for an empty one."""
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    for a, b in chunks([len(s) for s in sets], 500_000):
+        n = np.array([len(s) for s in sets[a:b]], np.int64)
+        some = np.flatnonzero(n)
+        if not len(some):
+            continue
+        every, starts = np.concatenate(sets[a:b]), (np.cumsum(n) - n)[some]
+        for k in range(WORDS):
+            bits = np.unpackbits(mix(every + np.uint64(k)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            out[a + some, k] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    return out
+
+
 def _copy_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """row, tag, id (a hash of the set), n (its size), prefix, parity."""
+    """row, tag, id and more (96 bits of a hash of the set), n (its size), prefix, code."""
     index = shared(docs.sparkSession, _frequent(docs, key, text))
 
     def run(batches):
         frequent = index()
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist())
-            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            raw = [s.tobytes() for s in sets]
+            ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
+            more = np.array([xxhash.xxh32_intdigest(x, SEED) for x in raw], np.uint32).view(np.int32)
             prefix = pa.array([_prefix(s, frequent).tobytes() for s in sets], pa.binary())
             n = pa.array([len(s) for s in sets], pa.int32())
-            parity = pa.array([p.tobytes() for p in _parity(sets)], pa.binary())
-            yield pa.record_batch([*batch.columns[:2], pa.array(ids), n, prefix, parity], ["row", "tag", "id", "n", "prefix", "parity"])
+            code = pa.array([c.tobytes() for c in set_codes(sets)], pa.binary())
+            yield pa.record_batch([*batch.columns[:2], pa.array(ids), pa.array(more), n, prefix, code], ["row", "tag", "id", "more", "n", "prefix", "code"])
 
-    return docs.select(*identity(docs, key, text), whole_text(text).alias("text")).mapInArrow(run, "row bigint, tag int, id bigint, n int, prefix binary, parity binary")
+    rows = docs.select(*identity(docs, key, text), whole_text(text).alias("text"))
+    return rows.mapInArrow(run, "row bigint, tag int, id bigint, more int, n int, prefix binary, code binary")
 
 
-def _copy_shards(nodes: DataFrame, most: int) -> DataFrame:
-    """(shard, id): every two sets (id, n, prefix) of similarity 4/5 share a shard; shards have `most` members at most.
+def _named(ids: np.ndarray, more: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A name for each group of members, so that equal groups are one shard."""
+    return mix(np.add.reduceat(mix(ids.view(np.uint64) + more.astype(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
+
 
-    A shard is the members of one shingle's group. Equal groups are one shard. A group over `most` becomes all pairs
-    of blocks of its members by size that hold sets of comparable sizes.
+def _dealt_copies(nodes: DataFrame, most: int) -> DataFrame:
+    """(shard, id, more, n, large). Not large: shards of `most` members at most. Large: all members of a group over `most`, under one shard number.
+
+    A shard is the members of one shingle's group whose sizes are comparable. Of a group over `most`, in order of size, each two neighbouring
+    blocks of half as many are a shard. Rows are read in one pass, and no group is held whole.
     """
+    step = max(1, most // 2)
 
     def rows(batches):
         for batch in batches:
-            prefix = batch.column(2).to_pylist()
-            n = np.array([len(p) // 8 for p in prefix], np.int64)
-            token = np.frombuffer(b"".join(prefix), np.int64)
-            yield pa.record_batch([pa.array(token), pa.array(np.repeat(batch.column(1).to_numpy(), n)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["s", "n", "id"])
+            prefix = batch.column(3).to_pylist()
+            k = np.array([len(p) // 8 for p in prefix], np.int64)
+            own = np.repeat(np.arange(len(k)), k)
+            yield pa.record_batch([pa.array(np.frombuffer(b"".join(prefix), np.int64)), *(batch.column(i).take(pa.array(own)) for i in range(3))], ["s", "id", "more", "n"])
 
     def deal(batches):
-        for table in whole_groups(batches, FOREST):
-            s, n, ids = (c.to_numpy() for c in table.columns)
-            n = n.astype(np.int64)
-            # only sets with a neighbour of comparable size in their group; a gap ends the group
-            near = (s[1:] == s[:-1]) & (4 * n[1:] <= 5 * n[:-1])
-            first = np.concatenate([[True], ~near])
-            size = np.diff(np.append(np.flatnonzero(first), len(s)))
-            on = np.repeat(size > 1, size)
-            n, ids, first, size = n[on], ids[on], first[on], size[size > 1]
-            if not len(ids):
+        held, count, opened = [], 0, False  # opened: what is held begins with the last block of a large group
+
+        def parts(s, ids, more, n, first, end, opened):
+            size = end - first
+            small = (size > 1) & (size <= most)
+            small[0] &= not opened
+            if small.any():
+                name = _named(ids, more, first, size)
+                on = np.repeat(small, size)
+                yield np.repeat(name[small], size[small]), ids[on], more[on], n[on], False
+            for g in np.flatnonzero((size > most) | (opened & (np.arange(len(size)) == 0))).tolist():
+                a, b = int(first[g]), int(end[g])
+                for at in range(a, b, step):
+                    if at + step < b:
+                        own = slice(at, min(at + 2 * step, b))
+                        name = mix(mix(ids[at : at + 1].view(np.uint64)) ^ s[at : at + 1].view(np.uint64)).view(np.int64)
+                        yield np.repeat(name, len(ids[own])), ids[own], more[own], n[own], False
+                yield s[a:b], ids[a:b], more[a:b], n[a:b], True
+
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                count += batch.num_rows
+                if count < FOREST:
+                    continue
+            if not count:
                 continue
-            starts = np.flatnonzero(first)
-            name = mix(np.add.reduceat(mix(ids.view(np.uint64)), starts) + size.astype(np.uint64))
-            small = np.repeat(size <= most, size)
-            out = [(np.repeat(name, size)[small], ids[small])]
-            for g in np.flatnonzero(size > most).tolist():
-                a, step = int(starts[g]), max(1, most // 2)
-                cuts = list(range(a, a + int(size[g]), step)) + [a + int(size[g])]
-                for i in range(len(cuts) - 1):
-                    for j in range(i + 1, len(cuts) - 1):
-                        if j > i + 1 and 4 * n[cuts[j]] > 5 * n[cuts[i + 1] - 1]:
-                            break
-                        own = np.concatenate([ids[cuts[i] : cuts[i + 1]], ids[cuts[j] : cuts[j + 1]]])
-                        block = mix(name[g : g + 1] + np.uint64(i * len(cuts) + j + 1))
-                        out.append((np.repeat(block, len(own)), own))
-                    if sum(len(x[0]) for x in out) > 1_000_000:
-                        yield _pairs_batch(out)
-                        out = []
-            if out:
-                yield _pairs_batch(out)
-
-    each = nodes.select("id", "n", "prefix").mapInArrow(rows, "s bigint, n int, id bigint")
-    return each.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(deal, "shard bigint, id bigint").distinct()
-
-
-def _pairs_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    shard, ids = (np.concatenate(x) for x in zip(*parts))
-    return pa.record_batch([pa.array(shard.view(np.int64)), pa.array(ids)], ["shard", "id"])
-
-
-def _parity(sets: list[np.ndarray]) -> np.ndarray:
-    """(n, PARITY / 64) uint64. Two sketches differ in no more bits than the sets differ in members."""
-    out = []
-    for a, b in chunks([len(s) + PARITY for s in sets], 4_000_000):
-        bit = np.concatenate([(s & np.uint64(PARITY - 1)).astype(np.int64) for s in sets[a:b]])
-        own = np.repeat(np.arange(b - a), [len(s) for s in sets[a:b]])
-        odd = np.bincount(own * PARITY + bit, minlength=(b - a) * PARITY).reshape(b - a, PARITY) & 1
-        out.append(np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64))
-    return np.concatenate(out)
-
-
-def _possible(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of those sizes and sketches can have similarity 4/5, in which case they differ in (n + m) / 9 members at most."""
-    out = 4 * np.maximum(n[a], n[b]) <= 5 * np.minimum(n[a], n[b])
-    a, b = a[out], b[out]
-    out[out] = 9 * np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= n[a] + n[b]
-    return out
+            table = pa.Table.from_batches(held)
+            s, ids, more, n = (c.to_numpy() for c in table.columns)
+            wide = n.astype(np.int64)
+            near = (s[1:] == s[:-1]) & (4 * wide[1:] <= 5 * wide[:-1])
+            first = np.flatnonzero(np.concatenate([[True], ~near]))
+            end = np.append(first[1:], len(s))
+            keep = len(s)  # rows from here on wait for the next batch
+            lasting = batch is not None
+            if lasting:
+                size, still = int(end[-1] - first[-1]), opened and len(first) == 1
+                if size > 4 * most or still and size > 2 * step:
+                    keep = int(first[-1]) + (size // step - 1) * step
+                    end[-1] = keep + step
+                else:
+                    keep = int(first[-1])
+                    first, end = first[:-1], end[:-1]
+            if len(first):
+                for shard, *cols, large in parts(s, ids, more, n, first, end, opened):
+                    yield pa.record_batch([pa.array(shard), *map(pa.array, cols), pa.array(np.full(len(shard), large))], ["shard", "id", "more", "n", "large"])
+                opened = lasting and len(end) > 0 and int(end[-1]) > keep
+            tail = table.slice(keep)
+            held, count = tail.to_batches(), tail.num_rows
+
+    each = nodes.select("id", "more", "n", "prefix").mapInArrow(rows, "s bigint, id bigint, more int, n int")
+    return each.repartition("s").sortWithinPartitions("s", "n", "id", "more").mapInArrow(deal, "shard bigint, id bigint, more int, n int, large boolean").distinct()
+
+
+def _copy_shards(nodes: DataFrame, most: int) -> DataFrame:
+    """(shard, id, more): the shards of _dealt_copies()."""
+    return _dealt_copies(nodes, most).filter("NOT large").select("shard", "id", "more")
 
 
-def _likely(batches):
-    """Rows (shard, id, n, parity) clustered by shard. (shard, id) of sets with a possible partner in their shard; equal groups are one shard."""
+def _candidates(table: pa.Table):
+    """Yields arrays of pairs of rows (shard, id, more, n, part, code) of one shard that the BK-trees find near, of different parts and comparable sizes."""
+    shard, n, part = table.column("shard").to_numpy(), table.column("n").to_numpy().astype(np.int64), table.column("part").to_numpy()
+    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint64).reshape(-1, WORDS)
+    for a, b in Forest(code, shard).search(RADIUS):
+        on = (a < b) & (part[a] != part[b]) & (4 * np.maximum(n[a], n[b]) <= 5 * np.minimum(n[a], n[b]))
+        if on.any():
+            yield a[on], b[on]
+
+
+def _near_edges(batches):
+    """(ah, ag, bh, bg): links that give the components of all candidate pairs of each shard."""
     for table in whole_groups(batches, FOREST):
-        shard, ids, n = (table.column(c).to_numpy() for c in range(3))
-        n = n.astype(np.int64)
-        sketch = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(-1, PARITY // 64)
-        marked = np.zeros(len(ids), bool)
-        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        end = np.repeat(np.append(first[1:], len(shard)), np.diff(np.append(first, len(shard))))
-        i, step = np.arange(len(shard)), 1
-        while len(i):
-            i = i[i + step < end[i]]
-            a = i[~(marked[i] & marked[i + step])]
-            on = _possible(sketch, n, a, a + step)
-            marked[a[on]] = marked[a[on] + step] = True
-            step += 1
-        shard, ids = shard[marked], ids[marked]
-        if len(ids):
-            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            size = np.diff(np.append(first, len(shard)))
-            name = mix(np.add.reduceat(mix(ids.view(np.uint64)), first) + size.astype(np.uint64))
-            yield _pairs_batch([(np.repeat(name, size), ids)])
+        up = np.arange(table.num_rows)
+        ends = [np.zeros((2, 0), np.int64)]
+        for a, b in _candidates(table):
+            on = up[a] != up[b]
+            while on.any():  # each round hooks every root to its least neighbour, and notes that edge
+                p, q = np.minimum(up[a[on]], up[b[on]]), np.maximum(up[a[on]], up[b[on]])
+                order = np.lexsort((p, q))
+                top = order[np.concatenate([[True], q[order][1:] != q[order][:-1]])]
+                ends.append(np.stack([a[on][top], b[on][top]]))
+                up[q[top]] = p[top]
+                while (up[up] != up).any():
+                    up = up[up]
+                on = up[a] != up[b]
+        a, b = np.concatenate(ends, axis=1)
+        ids, more = table.column("id").to_numpy(), table.column("more").to_numpy()
+        yield pa.record_batch([pa.array(x) for x in (ids[a], more[a], ids[b], more[b])], ["ah", "ag", "bh", "bg"])
 
 
 def _copy_links(batches):
-    """Rows (shard, id, shingles) clustered by shard. (a, b): links that give the components of all similar pairs of each shard."""
+    """(ah, ag, bh, bg): links that give the components of all similar pairs of each shard; rows have their sets of shingles."""
     for table in whole_groups(batches, SETS):
-        shard, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-        distinct, where, code = np.unique(ids, return_index=True, return_inverse=True)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column(2).take(pa.array(where)).to_pylist()]
-        n = np.array([len(s) for s in sets], np.int64)
-        sketch = _parity(sets)
+        ids, more = table.column("id").to_numpy(), table.column("more").to_numpy()
+        order = np.lexsort((more, ids))
+        fresh = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (more[order][1:] != more[order][:-1])])
+        code = np.zeros(len(ids), np.int64)
+        code[order] = np.cumsum(fresh) - 1
+        where = order[fresh]
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").take(pa.array(where)).to_pylist()]
         members: dict[int, frozenset] = {}
         up = np.arange(len(sets))
         out: list[tuple[int, int]] = []
@@ -361,16 +402,10 @@ def _copy_links(batches):
                 members[x] = frozenset(sets[x].tolist())
             return members[x]
 
-        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        end = np.repeat(np.append(first[1:], len(shard)), np.diff(np.append(first, len(shard))))
-        i, step = np.arange(len(shard)), 1
-        while len(i):
-            i = i[i + step < end[i]]
-            a, b = code[i], code[i + step]
-            on = up[a] != up[b]
-            a, b = a[on], b[on]
-            if len(a):
-                on = _possible(sketch, n, a, b)
+        for i, j in _candidates(table):
+            for k in range(0, len(i), 4096):
+                a, b = code[i[k : k + 4096]], code[j[k : k + 4096]]
+                on = up[a] != up[b]
                 found = False
                 for x, y in zip(a[on].tolist(), b[on].tolist()):
                     p, q = find(x), find(y)
@@ -381,47 +416,93 @@ def _copy_links(batches):
                 if found:
                     while (up[up] != up).any():
                         up[:] = up[up]
-            step += 1
-        ends = np.array(out, np.int64).reshape(-1, 2)
-        yield pa.record_batch([pa.array(distinct[ends[:, 0]]), pa.array(distinct[ends[:, 1]])], ["a", "b"])
+        a, b = (where[x] for x in np.array(out, np.int64).reshape(-1, 2).T)
+        yield pa.record_batch([pa.array(x) for x in (ids[a], more[a], ids[b], more[b])], ["ah", "ag", "bh", "bg"])
 
 
 def _with_sets(docs: DataFrame, key: str, text: str, need: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents (row, tag, id) that need names."""
+    """(id, more, shingles) of the documents (row, tag, id, more) that need names."""
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            sets = shingle_sets(batch.column(2).to_pylist())
+            yield pa.record_batch([*batch.columns[:2], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "more", "shingles"])
 
     need = cut(need)
     if need.count() <= BROADCAST_ROWS:
         need = F.broadcast(need)
     rows = docs.select(*identity(docs, key, text), whole_text(text).alias("text")).join(need, ["row", "tag"])
-    return rows.select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id bigint, shingles binary")
+    return rows.select("id", "more", "text").dropDuplicates(["id", "more"]).mapInArrow(run, "id bigint, more int, shingles binary")
+
+
+ID = ["id", "more"]
+
+
+def node(h: str, g: str) -> Column:
+    """One number for the two hashes of a set."""
+    return (F.col(h).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col(g).cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def _shard_links(docs: DataFrame, key: str, text: str, dealt: DataFrame, nodes: DataFrame, leasts: DataFrame) -> DataFrame:
+    """dealt: shard, id, more, part. (a, b): links of sets of different parts that share a shard and are similar.
+
+    Candidates of all shards are joined to clusters first, so that a set goes to one place to be compared. A cluster of over SHARD sets
+    is compared in the shards of its members.
+    """
+    ends = "ah bigint, ag int, bh bigint, bg int"
+    edge = node("ah", "ag").alias("a"), node("bh", "bg").alias("b")
+    known = nodes.select(*ID, "n", "code")
+    near = dealt.join(known, ID).select("shard", *ID, "n", "part", "code").repartition("shard").sortWithinPartitions("shard", *ID).mapInArrow(_near_edges, ends).select(*edge)
+    clusters = components(near)
+    every = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
+    own = known.select(*ID, node(*ID).alias("node")).join(every.join(every.groupBy("root").agg(F.count("*").alias("m")), "root"), "node")
+    own = cut(own.select(F.xxhash64("root").alias("shard"), *ID, "m"))
+    likely = own.filter(F.col("m") <= SHARD).select("shard", *ID).union(dealt.join(own.filter(F.col("m") > SHARD).select(*ID), ID, "left_semi").select("shard", *ID))
+    sets = _with_sets(docs, key, text, leasts.join(own.select(*ID), ID, "left_semi").select(*ID, "least.row", "least.tag"))
+    held = likely.join(dealt.select(*ID, "part").distinct(), ID).join(known, ID).join(sets, ID).select("shard", *ID, "n", "part", "code", "shingles")
+    found = held.repartition("shard").sortWithinPartitions("shard", *ID).mapInArrow(_copy_links, ends)
+    return cut(found.select(*edge).distinct())
+
+
+def _rest_of_large(large: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(shard, id, more, part): what neighbouring blocks of large groups have not compared, of members that are not linked yet.
+
+    Members of a group's largest component need no comparing with each other. Each block of the others meets each block of all members, so
+    work is the product of a group's size and the number of those outside that component; a group of copies has few.
+    """
+    own = large.withColumn("node", node("id", "more")).join(roots, "node", "left").select("shard", *ID, F.coalesce("root", "node").alias("root"))
+    own = cut(own)
+    by_root = own.groupBy("shard", "root").agg(F.count("*").alias("m"))
+    sizes = by_root.groupBy("shard").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).select("shard", "n", (F.col("n") - F.col("top.m")).alias("rest"), F.col("top.root").alias("top")).filter("rest > 0")
+    half = max(1, most // 2)
+    rows = own.join(cut(sizes), "shard").withColumn("part", F.xxhash64("root"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("rest") / half).cast("int")).withColumn("chunks", F.ceil(F.col("n") / half).cast("int"))
+    spread = F.xxhash64(F.lit(7), *ID)
+    outer = rows.filter("root != top").select(*ID, "part", "shard", F.pmod(spread, "blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    every = rows.select(*ID, "part", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(spread, "chunks").cast("int").alias("j"))
+    return outer.union(every).select(F.xxhash64("shard", "i", "j").alias("shard"), *ID, "part").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, tag) of the documents that go: all but the first of each group of texts whose similarity is 0.8 or more.
 
-    Similarity is the Jaccard similarity of the sets of five-word shingles (as 64-bit hashes). A prefix filter finds candidates
-    and loses none; each link is one whose sets were compared. Groups are the components of the links.
+    Similarity is the Jaccard similarity of the sets of five-word shingles (as 64-bit hashes). A prefix filter deals the shards and keeps similar texts together,
+    BK-trees over SimHash codes find candidates, and each link is one whose sets were compared. Groups are the components of the links.
     """
     prints = stored(_copy_prints(docs, key, text), "copies")
-    nodes = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    dealt = cut(_copy_shards(nodes, SHARD))
-    sketches = prints.join(dealt.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    light = dealt.join(sketches, "id").select("shard", "id", "n", "parity").repartition("shard").sortWithinPartitions("shard", "id")
-    dealt = cut(light.mapInArrow(_likely, "shard bigint, id bigint").distinct())
-    leasts = prints.groupBy("id").agg(F.min(F.struct("row", "tag")).alias("least"))
-    need = leasts.join(dealt.select("id").distinct(), "id", "left_semi").select("id", "least.row", "least.tag")
-    sets = _with_sets(docs, key, text, need)
-    held = dealt.join(sets, "id").select("shard", "id", "shingles")
-    found = held.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(_copy_links, "a bigint, b bigint")
-    roots = components(found)
-    placed = leasts.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    nodes = stored(prints.groupBy(*ID).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("code").alias("code")), "sets")
+    leasts = prints.groupBy(*ID).agg(F.min(F.struct("row", "tag")).alias("least"))
+    dealt = cut(_dealt_copies(nodes, SHARD))
+    links = _shard_links(docs, key, text, dealt.filter("NOT large").select("shard", *ID, F.xxhash64(*ID).alias("part")), nodes, leasts)
+    roots = components(links)
+    large = dealt.filter("large").select("shard", *ID)
+    if not large.isEmpty():
+        rest = cut(_rest_of_large(large, roots, SHARD))
+        if not rest.isEmpty():
+            roots = components(links.union(_shard_links(docs, key, text, rest, nodes, leasts)))
+    placed = leasts.withColumn("node", node("id", "more")).join(roots, "node", "left").select(*ID, "least", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("first"))
-    every = prints.select("id", "row", "tag").join(placed.join(named, "root").select("id", "first"), "id")
+    every = prints.select(*ID, "row", "tag").join(placed.join(named, "root").select(*ID, "first"), ID)
     return every.filter(F.struct("row", "tag") != F.col("first")).select("row", "tag").distinct()
 
 
