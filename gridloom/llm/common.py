@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import pickle
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 # The ASCII white space that separates words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def whole_text(col: str = "text") -> Column:
     """A null text counts as an empty one."""
@@ -35,33 +38,83 @@ def identity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or in a local session one of our own where that is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="gridloom-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(folder)
-            folder = spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through a checkpoint in the shared folder; Spark's cleaner removes it with the frame."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def tidied(spark: SparkSession):
+    """While it lasts, Spark removes the shuffle files of a query when the query ends."""
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+
+
+_stored: list[tuple[SparkSession, str]] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and rereads it: smaller than a checkpoint for wide rows.
+    """Writes df as Parquet in the shared folder and rereads it: smaller than a checkpoint for wide rows. release() removes it.
+
+    The shuffle files of that job go when it is done, as nothing else can read them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _stored.append((spark, path))
+    with tidied(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: df is computed once, into a table in the shared folder."""
+    return stored(df, "cut")
+
 
-    Then lets Spark's cleaner remove the shuffle files of that job, which would stay until the driver happens to collect garbage.
+def mark() -> int:
+    """How many tables stored() has made so far."""
+    return len(_stored)
+
+
+def release(since: int = 0, *but: DataFrame) -> None:
+    """Removes the tables that stored() made since that mark, except those of the frames `but`; for callers that have written what they need.
+
+    At the end of the driver, those that are left go.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stay = {getattr(df, "stored_at", None) for df in but}
+    _remove([x for x in _stored[since:] if x[1] not in stay])
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the tables of these frames of stored(), which nothing reads any more."""
+    gone = {getattr(df, "stored_at", None) for df in frames}
+    _remove([x for x in _stored if x[1] in gone])
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for table in tables:
+        _stored.remove(table)
+        spark, path = table
+        try:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        except Exception:  # noqa: S112 - the session has ended; its folder is not ours to reach any more
+            continue
+
+
+atexit.register(release)
 
 
 def fold(col: Column | str, parts: int) -> Column:
@@ -92,17 +145,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled documents, chosen by a hash of doc_id among the allowed rows.
 
-    The bound is what a model is fitted on; rows without a label are left out. A repeated id counts once.
+    The bound is what a model is fitted on; rows without a label are left out, and ids with labels that contradict each other. A repeated
+    id counts once, with the least of its texts.
     """
-    rows = labels.filter(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    pick = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most).dropDuplicates(["doc_id"])
+    rows = labels.filter(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
+    pick = rows.filter("low = high").select("doc_id", F.col("low").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # `most` rows at most, so the broadcast has a fixed bound.
     found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(pick), "doc_id")
-    return found
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def shared(spark: SparkSession, value):
-    """A function that gives value on executors, through a broadcast; for values whose size has a fixed bound.
+    """A function that gives value on executors, through a broadcast; for values whose size has a fixed bound. Its forget() frees the broadcast.
 
     Pickled with the classes it needs, so executors need not have this package.
     """
@@ -111,6 +165,7 @@ def shared(spark: SparkSession, value):
     def get():
         return pickle.loads(sent.value)
 
+    get.forget = sent.unpersist
     return get
 
 

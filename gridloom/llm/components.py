@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, discard
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns a and b of one orderable type. Alternates the large-star and small-star steps of
     Kiveris et al. until nothing changes. Each step is one aggregation with partial sums and one join,
-    which adaptive execution can split when a hub is hot; a step's result is a checkpoint in the shared folder.
+    which adaptive execution can split when a hub is hot; a step's result is a table in the shared folder, which goes after the next step.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     before, state = None, _fingerprint(now)
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = cut(small.filter("a != b").distinct())
+        last, now = now, cut(small.filter("a != b").distinct())
+        discard(last)
         before, state = state, _fingerprint(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
