@@ -627,8 +627,13 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", minimum
     base = _documents(docs, key, text)
     joined = base.join(removals(base.select("row", "tag", "text"), minimum), ["row", "tag"], "left")
     parts = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+
+    def without(p: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n")
+
+    # A text is split once, not once a line.
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.transform(F.array(parts), without)[0])
     return joined.select("all", kept.alias("kept"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
