@@ -2,12 +2,14 @@
 
 Lexicon: the log-odds of a token between toxic and other labelled texts, with Dirichlet priors in a hierarchy: a
 word's prior mean is the estimate of its six-letter prefix, whose prior is that of its four-letter prefix, whose
-prior is the rate over all tokens. So rare and unseen forms of a word lean on what its prefix shows. A lower bound (ERRORS
-standard errors below) is the token's score; tokens without evidence cost NEUTRAL each.
+prior is the rate over all tokens. So rare and unseen forms of a word lean on what its prefix shows. What is left of the log-odds, for
+or against, beyond ERRORS standard errors is the token's evidence; its score is that less COST, what a token more in a passage must bring.
 
 Segments: the linear scan of Ruzzo and Tompa finds all maximal segments of positive total. Extreme-value
 theory (Karlin and Altschul) gives each a p-value for a text of its length, and the best sums of them one for the
-text; its evidence is -ln of that, and a logistic curve fitted on held-back labelled rows maps it to 0..1.
+text; its evidence is -ln of that, and a logistic curve fitted on held-back labelled rows maps it to 0..1. The decay lambda solves
+the theory's equation over the tokens of texts that are not toxic; K is the maximum-likelihood estimate from the best segments of the held-back texts
+that are not toxic.
 
 Fitted on a bounded sample of labelled rows (SAMPLE); every whole text is scored.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,73 +29,72 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fold, labelled_sample, shared, whole_text
+from gridloom.llm.common import cut, fold, labelled_sample, shared, whole_text
 
 #: Labelled documents that the lexicon and the calibration are fitted on, at most.
 SAMPLE = 20_000
 #: One labelled row in CALIBRATION fits the logistic curve; the others fit the lexicon.
 CALIBRATION = 5
-#: Score of a token without toxic evidence.
-NEUTRAL = -0.5
+#: What each token of a segment costs; the score of a token without evidence.
+COST = 0.5
+NEUTRAL = -COST
 #: Pseudo-tokens of each prior.
 STRENGTH = 1.0
-#: Standard errors that the score of a token lies below its log-odds, and the least score that counts as evidence.
-ERRORS, LEAST = 1.64, 2.0
+#: Standard errors by which log-odds are shrunk towards none.
+ERRORS = 1.64
 #: Largest p-value of a significant segment.
 SIGNIFICANT = 0.05
-#: Karlin and Altschul's K, whose exact value only shifts what the calibration fits.
-K = 0.02
+#: Words whose scores a worker keeps at hand.
+REMEMBERED = 300_000
 PREFIXES = (4, 6)
 TOKEN = re.compile(r"[^\W_]+")
 
 
+def evidence_of(toxic, n, mean, rate: float):
+    """Log-odds of a share with a prior, against the rate, shrunk by ERRORS standard errors; for numbers and arrays."""
+    p = (toxic + STRENGTH * mean) / (n + STRENGTH)
+    odds = np.log(p / (1 - p)) - math.log(rate / (1 - rate))
+    error = np.sqrt(1 / (toxic + STRENGTH * rate) + 1 / (n - toxic + STRENGTH))
+    return np.sign(odds) * np.maximum(0, np.abs(odds) - ERRORS * error)
+
+
+def tokens(text: str) -> list[str]:
+    return TOKEN.findall(text.lower())
+
+
 class Lexicon:
-    """Scores of tokens that have toxic evidence, and the scale of segment scores."""
+    """Scores of tokens, and the scale of segment scores."""
 
-    def __init__(self, counts: pd.DataFrame):
-        """counts: word, n (labelled texts that have it), toxic (of those, toxic ones)."""
+    def __init__(self, counts: pd.DataFrame, stems: pd.DataFrame):
+        """stems: stem (of a size in PREFIXES), n (times that a labelled text has a word with it), toxic (of those, in toxic texts), for all
+        words, but for long stems of one text; counts: word, n, toxic, for words that two texts have or more. One text alone shows nothing beyond the error."""
         self.scores: dict[str, float] = {}
         self.stems: dict[str, float] = {}
-        n, toxic = float(counts["n"].sum()), float(counts["toxic"].sum())
+        self.k = 1.0
+        short = stems[stems["stem"].str.len() <= PREFIXES[0]]
+        n, toxic = float(short["n"].sum()), float(short["toxic"].sum())
         self.usable = 0 < toxic < n
         self.decay = 1.0
         if not self.usable:
             return
         rate = toxic / n
-        own = counts[["word", "n", "toxic"]]
-        mean: pd.Series | float = rate
-        for size in PREFIXES:
-            stem = own["word"].str.slice(0, size)
-            sums = own.assign(stem=stem).groupby("stem")[["n", "toxic"]].sum()
-            prior = rate if size == PREFIXES[0] else sums.index.str.slice(0, PREFIXES[0]).map(self.rates)
-            sums["mean"] = (sums["toxic"] + STRENGTH * np.asarray(prior, float)) / (sums["n"] + STRENGTH)
-            sums["error"] = 1 / (sums["toxic"] + STRENGTH * rate) + 1 / (sums["n"] - sums["toxic"] + STRENGTH)
-            if size == PREFIXES[0]:
-                self.rates = sums["mean"].to_dict()
-                self.stems |= self._bounded(sums["mean"], sums["error"], rate)
-                outer = sums
-            else:
-                long = sums[sums.index.str.len() > PREFIXES[0]]
-                # a longer prefix speaks for itself where its short one has evidence, or where it has its own
-                scores = self._bounded(long["mean"], long["error"], rate, keep=long.index.str.slice(0, PREFIXES[0]).isin(self.stems))
-                self.stems |= scores
-                mean = stem.map(sums["mean"])
-        del outer, self.rates
-        value = (own["toxic"] + STRENGTH * mean) / (own["n"] + STRENGTH)
-        error = 1 / (own["toxic"] + STRENGTH * rate) + 1 / (own["n"] - own["toxic"] + STRENGTH)
-        keep = own["word"].str.slice(0, PREFIXES[0]).isin(self.stems) | own["word"].str.slice(0, PREFIXES[1]).isin(self.stems)
-        table = pd.Series(np.asarray(value), index=own["word"])
-        self.scores = self._bounded(table, pd.Series(np.asarray(error), index=own["word"]), rate, keep=np.asarray(keep))
-        self.roots = {w[: PREFIXES[0]] for w in [*self.scores, *self.stems]}
-        clean = own["n"] - own["toxic"]
-        given = np.array([self.score(w) for w in own["word"]])
-        self._fit_decay(given, np.asarray(clean, float))
-
-    @staticmethod
-    def _bounded(mean: pd.Series, error: pd.Series, rate: float, keep=None) -> dict[str, float]:
-        low = np.log(mean / (1 - mean)) - math.log(rate / (1 - rate)) - ERRORS * np.sqrt(error)
-        on = (low > LEAST) if keep is None else (low > LEAST) | keep
-        return {w: float(s) if s > LEAST else NEUTRAL for w, s in low[on].items()}
+        mean = dict(zip(short["stem"], (short["toxic"] + STRENGTH * rate) / (short["n"] + STRENGTH)))
+        self.stems = dict(zip(short["stem"], evidence_of(short["toxic"].to_numpy(float), short["n"].to_numpy(float), rate, rate).tolist()))
+        long = stems[stems["stem"].str.len() > PREFIXES[0]]
+        outer = long["stem"].str.slice(0, PREFIXES[0]).map(mean).to_numpy(float)
+        self.stems |= dict(zip(long["stem"], evidence_of(long["toxic"].to_numpy(float), long["n"].to_numpy(float), outer, rate).tolist()))
+        mean |= dict(zip(long["stem"], (long["toxic"] + STRENGTH * outer) / (long["n"] + STRENGTH)))
+        inner = counts["word"].str.slice(0, PREFIXES[1]).map(mean).to_numpy(float)
+        self.scores = dict(zip(counts["word"], (evidence_of(counts["toxic"].to_numpy(float), counts["n"].to_numpy(float), inner, rate) - COST).tolist()))
+        self.stems = {w: s - COST for w, s in self.stems.items()}
+        # words of one text count with their stem's score
+        clean = (counts["n"] - counts["toxic"]).to_numpy(float)
+        ends = long if len(long) else short
+        whole = (ends["n"] - ends["toxic"]).to_numpy(float)
+        given = np.concatenate([np.array([self.scores[w] for w in counts["word"]]), np.array([self.stems[w] for w in ends["stem"]])])
+        counted = pd.Series(clean).groupby(counts["word"].str.slice(0, PREFIXES[1]).to_numpy(str)).sum()
+        left = np.maximum(0, whole - ends["stem"].map(counted).fillna(0).to_numpy(float))
+        self._fit_decay(given, np.concatenate([clean, left]))
 
     def score(self, word: str) -> float:
         s = self.scores.get(word)
@@ -104,31 +106,40 @@ class Lexicon:
 
     def _fit_decay(self, scores: np.ndarray, clean: np.ndarray) -> None:
         """lambda > 0 with sum p(s) exp(lambda s) = 1 over the token scores of texts that aren't toxic."""
-        positive = scores > 0
-        p = np.where(positive, clean, 0)
-        total = clean.sum() + 1
-        top = float(scores[positive].max()) if positive.any() else 1.0
-        values, weights = np.append(scores[positive], top), np.append(p[positive], 0.5) / total
-        neutral = 1 - weights.sum()
+        # half a token of the best score stands for what the sample did not show
+        values, weights = np.append(scores, max(1.0, float(scores.max(initial=1.0)))), np.append(clean, 0.5) / (clean.sum() + 0.5)
         low, high = 0.0, 60.0
         for _ in range(80):
             mid = (low + high) / 2
-            low, high = (low, mid) if (weights * np.exp(np.minimum(mid * values, 600))).sum() + neutral * math.exp(mid * NEUTRAL) > 1 else (mid, high)
+            low, high = (low, mid) if (weights * np.exp(np.minimum(mid * values, 600))).sum() > 1 else (mid, high)
         self.decay = max(low, 0.05)
 
+    def fit_k(self, best: np.ndarray, words: np.ndarray) -> None:
+        """K from the best segment scores (0 for none) and the lengths of texts that aren't toxic: K m exp(-lambda best) is exponential of mean 1."""
+        total = (words * np.exp(-self.decay * best)).sum()
+        self.k = float(max((best > 0).sum(), 0.5) / total) if total > 0 else 1.0
+
+    def _scored(self, words: list[str]) -> list[float]:
+        known = self.__dict__.setdefault("known", {})
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words) - known.keys():
+            known[w] = self.score(w)
+        return [known[w] for w in words]
+
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """All maximal-scoring segments as (first word, end, score), in one pass over the words with a score above zero.
 
-        Words between two of those only add NEUTRAL each, so they are passed as one step of that total.
+        Words between two of those only lower the sum, so they are passed as one step of their total.
         """
-        roots, size = self.roots, PREFIXES[0]
-        found = [(i, s) for i, w in enumerate(words) if w[:size] in roots and (s := self.score(w)) > 0]
-        kept: list[list] = []  # start, end, sum before it, sum up to its end
-        total, at = 0.0, 0
-        for i, s in found:
-            total += NEUTRAL * (i - at)
-            now = [i, i + 1, total, total + s]
-            total, at = total + s, i + 1
+        scores = self._scored(words)
+        found = [i for i, s in enumerate(scores) if s > 0]
+        if not found:
+            return []
+        sums = list(accumulate(scores, initial=0.0))
+        kept: list[list] = []  # start, end, sum before it, sum up to its end, the segment that its start is held against
+        for i in found:
+            now = [i, i + 1, sums[i], sums[i + 1]]
             while True:
                 j = len(kept) - 1
                 while j >= 0 and kept[j][2] >= now[2]:
@@ -147,11 +158,11 @@ class Lexicon:
         The p-value is the least, over r, of that of the sum of the r best normalised scores (the sum statistic of
         Karlin and Altschul), so several weak passages count as well as one strong passage.
         """
-        words = TOKEN.findall(text.lower())
+        words = tokens(text)
         found = self.segments(words)
         if not found:
             return 0.0, []
-        norm = math.log(K * max(len(words), 1))
+        norm = math.log(self.k * max(len(words), 1))
         scaled = sorted(((self.decay * s - norm, a, b) for a, b, s in found), reverse=True)
         best, total = 0.0, 0.0
         for r, (x, _, _) in enumerate(scaled, 1):
@@ -163,10 +174,19 @@ class Lexicon:
         return best, [s for s in spans if s[2] <= SIGNIFICANT]
 
 
-def word_counts(sample: DataFrame) -> pd.DataFrame:
-    """word, n, toxic: texts of the (bounded) sample that have the word. A text counts once, so repetition proves nothing."""
-    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).toArrow().to_pandas().sort_values("word", ignore_index=True)
+def word_counts(sample: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(word, n, toxic) of words that two texts of the sample have or more, and (stem, n, toxic) of all. A text counts once for a word, so repetition proves nothing."""
+
+    def run(batches):
+        for batch in batches:
+            own = [sorted(set(tokens(t))) for t in batch.column(1).to_pylist()]
+            label = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.record_batch([pa.array([w for x in own for w in x], pa.string()), pa.array(label)], ["word", "label"])
+
+    words = cut(sample.select("label", "text").mapInArrow(run, "word string, label int").groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")))
+    each = words.select("n", "toxic", F.explode(F.array_distinct(F.array(*[F.substring("word", 1, k) for k in PREFIXES]))).alias("stem"))
+    stems = each.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter((F.col("n") > 1) | (F.char_length("stem") <= PREFIXES[0]))
+    return words.filter("n > 1").toArrow().to_pandas().sort_values("word", ignore_index=True), stems.toArrow().to_pandas().sort_values("stem", ignore_index=True)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -194,13 +214,30 @@ def _evidence(rows: DataFrame, lexicon, extra: str, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"{extra} {kind}, evidence double, segments array<struct<first:bigint,end:bigint,p:double>>")
 
 
+def _best(rows: DataFrame, lexicon) -> DataFrame:
+    """rows: label, text. (best, words): the best segment score and the number of tokens of each text."""
+
+    def run(batches):
+        lex = lexicon()
+        for batch in batches:
+            own = [tokens(t) for t in batch.column(1).to_pylist()]
+            best = [max((s for _, _, s in lex.segments(w)), default=0.0) for w in own]
+            yield pa.record_batch([pa.array(best, pa.float64()), pa.array([len(w) for w in own], pa.int64())], ["best", "words"])
+
+    return rows.mapInArrow(run, "best double, words bigint")
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", most: int = SAMPLE):
     """The lexicon (broadcast; bounded by the sample) and the calibration curve."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, allowed, most).select("*", (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(CALIBRATION)) == 0).alias("later"))
-    made = Lexicon(word_counts(sample.filter("NOT later")))
-    lexicon = shared(spark, made)
+    sample = cut(sample)
+    made = Lexicon(*word_counts(sample.filter("NOT later")))
     rows = sample.filter("later").select("label", "text")
+    if made.usable:
+        best = _best(rows.filter("label = 0"), shared(spark, made)).toPandas().sort_values(["best", "words"])
+        made.fit_k(best["best"].to_numpy(float), best["words"].to_numpy(float))
+    lexicon = shared(spark, made)
     found = _evidence(rows, lexicon, "label", "int").select("label", "evidence").toPandas().sort_values(["evidence", "label"])
     y = found["label"].to_numpy(float)
     if made.usable and 0 < y.sum() < len(y):
