@@ -8,7 +8,7 @@ Only built-in DataFrame functions run. Shuffled are the counts of a fixed number
 of numbers a document. The weights, one a bucket, are the only thing broadcast.
 
 Defined cases: null and empty texts have no words and fail the base rules; an empty table gives an empty
-table; repeated rows each get their own result, as rows are told apart by position, not by doc_id;
+table; repeated rows (equal in id and text) are counted once and given back as often as they stand there;
 columns other than the id and the text are ignored.
 """
 
@@ -34,9 +34,10 @@ def let(value: Column, body) -> Column:
 
 
 def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row, and the words, their hashes and the base counts of every row."""
+    """key, row (a hash of the text), and the words, their hashes and the base counts of every row."""
     gap = " \t\n\x0b\x0c\r"
-    df = docs.select(F.col(key).alias("key"), whole_text(text).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    # Not a row number, which a repeated task could give to another row.
+    df = docs.select(F.col(key).alias("key"), whole_text(text).alias("t")).withColumn("row", F.struct(F.xxhash64("t"), F.hash("t")))
     trimmed = F.btrim(F.col("t"), F.lit(gap))
     df = df.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)))
     df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
@@ -105,12 +106,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", trusted: Col
     rows = parsed(docs, key, text)
     table = weights(rows, looks_trusted() if trusted is None else trusted)
     base = rows.select("key", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat_words(F.col("h")).alias("n_repeat_words"), grams(F.col("h")).alias("grams"))
-    each = base.select("*", F.explode_outer("grams").alias("gram")).drop("grams")
+    each = base.select("*", F.explode_outer("grams").alias("gram"), F.greatest(F.size("grams"), F.lit(1)).alias("n_grams")).drop("grams")
     # The weights have BUCKETS rows at most, whatever the input.
     joined = each.join(F.broadcast(table), "gram", "left")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     # the key is grouped by, as a first() of some types would need a sorting aggregation
-    out = joined.groupBy("row", F.col("key").alias(key)).agg(*[F.first(c).alias(c) for c in names], F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
+    out = joined.groupBy("row", F.col("key").alias(key)).agg(*[F.first(c).alias(c) for c in names], F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"), (F.count("*") / F.first("n_grams")).cast("int").alias("times"))
+    out = out.select(key, *names, "llr", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("repeat")).drop("repeat")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
