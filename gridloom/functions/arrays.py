@@ -52,9 +52,12 @@ def array_element(a: Column, index=None, label=None, return_nodata=False, labele
     return out if return_nodata else F.when(there, out).otherwise(F.raise_error(F.lit("ArrayElementNotAvailable")))
 
 
-def array_modify(a: Column, new: Column, index: int, length: int = 1) -> Column:
-    """Removes `length` elements at index and puts `new` there."""
-    spliced = F.concat(F.slice(a, 1, index), new, F.slice(a, index + length + 1, F.greatest(F.size(a), F.lit(1))))
+def array_modify(a: Column, new: Column, index: int, length: int = 1, labeled=False) -> Column:
+    """Removes `length` elements at index and puts `new` there. Of labelled arrays, no new label may be one that stays."""
+    before, after = F.slice(a, 1, index), F.slice(a, index + length + 1, F.greatest(F.size(a), F.lit(1)))
+    spliced = F.concat(before, new, after)
+    if labeled:
+        spliced = F.when(F.size(F.array_intersect(labels(F.concat(before, after)), labels(new))) == 0, spliced).otherwise(F.raise_error(F.lit("ArrayLabelConflict")))
     return F.when(F.size(a) >= index, spliced).otherwise(F.raise_error(F.lit("ArrayElementNotAvailable")))
 
 

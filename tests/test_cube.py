@@ -225,3 +225,32 @@ def test_curves(spark):
 
 def test_all_processes_are_there():
     assert len(processes()) >= 137 and {"min", "and", "if", "round", "load_stac", "fit_curve", "rqadeforestation"} <= set(processes())
+
+
+def test_mask_grids_and_times(spark):
+    cube, data = random_cube(spark, (4, 4, 3, 1))
+    moved = Cube(cube.df.select((F.col("x") + 0.25).alias("x"), (F.col("y") + 0.25).alias("y"), "t", "bands", F.lit(1.0).alias(VALUE)), cube.schema)
+    assert cube.mask(moved, -7.0).df.filter("value = -7").count() == cube.df.count()  # a quarter of a cell aside: every cell is masked
+    coarse = spark.createDataFrame([(float(x), float(y), float(x == 0)) for x in (0, 2) for y in (0, 2)], "x double, y double, value double")
+    got = {r.x for r in cube.mask(Cube.of(coarse, ["x", "y"], crs="EPSG:4326"), -7.0).df.filter("value = -7").collect()}
+    assert got == {0.0}
+    times = [r.t for r in cube.df.select("t").distinct().orderBy("t").collect()]
+    one = Cube(moved.df.filter(F.col("t") == times[0]), moved.schema)
+    assert cube.mask(one, -7.0).df.filter("value = -7").count() == cube.df.count()  # one time holds for all
+    two = Cube(cube.df.filter(F.col("t") != times[0]), cube.schema)
+    with pytest.raises(E.DimensionLabelCountMismatch):
+        cube.mask(two)
+    other = Cube(cube.df.withColumn("t", F.col("t") + F.expr("INTERVAL 1 HOUR")), cube.schema)
+    with pytest.raises(E.LabelMismatch):
+        cube.mask(other)
+
+
+def test_labelled_array_modify(spark):
+    from gridloom.functions import arrays as A
+
+    named = A.array_create_labeled(F.array(F.lit(1.0), F.lit(2.0)), ["a", "b"])
+    new = A.array_create_labeled(F.array(F.lit(9.0)), ["b"])
+    row = spark.range(1).select(A.array_modify(named, new, 1, 1, labeled=True).alias("v")).first().v
+    assert [(r.label, r.value) for r in row] == [("a", 1.0), ("b", 9.0)]
+    with pytest.raises(Exception, match="ArrayLabelConflict"):
+        spark.range(1).select(A.array_modify(named, new, 0, 1, labeled=True).alias("v")).collect()
