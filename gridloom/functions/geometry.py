@@ -1,17 +1,23 @@
-"""Polygons and points from GeoJSON, and point-in-polygon tests as Column expressions or on the driver."""
+"""Polygons and points from GeoJSON, and point-in-polygon tests as Column expressions, as joins, or on the driver."""
 
 from __future__ import annotations
 
 import json
 import math
+import urllib.request
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import crs as C
 
 Ring = list[tuple[float, float]]
+#: Edges up to which a test is one expression; for more, points are joined with the edges of their strip.
+FEW_EDGES = 64
+#: Edges of a strip, about, and strips at most.
+STRIP_EDGES, STRIPS = 8, 1 << 16
+EDGE = "geometry long, x0 double, y0 double, x1 double, y1 double"
 
 
 def crs_of(data: dict) -> str | int:
@@ -49,12 +55,12 @@ class Shapes:
 
     @staticmethod
     def of(data, target=None) -> Shapes:
-        """From Shapes, GeoJSON (dict or text) or a local path to one; brought to the target system if given."""
+        """From Shapes, GeoJSON (dict or text), or a path or address of one; brought to the target system if given."""
         if isinstance(data, Shapes):
             out = data
         else:
             if isinstance(data, str):
-                data = json.loads(data) if data.lstrip().startswith("{") else json.load(open(data))
+                data = json.loads(data if data.lstrip().startswith("{") else fetched(data))
             kind = data.get("type")
             if kind == "FeatureCollection":
                 found = [(polygons_of(f), f.get("properties") or {}) for f in data["features"]]
@@ -73,11 +79,74 @@ class Shapes:
         points = [p for shape in self.parts for poly in shape for ring in poly for p in ring]
         return min(x for x, _ in points), min(y for _, y in points), max(x for x, _ in points), max(y for _, y in points)
 
+    def edges(self) -> list[tuple[int, float, float, float, float]]:
+        """(shape, both ends) of all edges that aren't level; crossings of them count, whatever ring they are of."""
+        return [(i, *e) for i, shape in enumerate(self.parts) for poly in shape for e in edges_of(poly)]
+
     def rings(self) -> list[tuple[int, list[list[list[float]]]]]:
         """(shape, all rings of all its polygons); even-odd over them honours holes and many parts."""
         return [(i, [[list(p) for p in ring] for poly in shape for ring in poly]) for i, shape in enumerate(self.parts)]
 
 
+def fetched(address: str) -> bytes:
+    """What stands at a path or an address."""
+    if "://" not in address:
+        with open(address, "rb") as f:
+            return f.read()
+    with urllib.request.urlopen(address) as answer:
+        return answer.read()
+
+
+def edges_of(polygon: list[Ring]) -> list[tuple[float, float, float, float]]:
+    return [(*a, *b) for ring in polygon for a, b in zip(ring, [*ring[1:], ring[0]]) if a[1] != b[1]]
+
+
+def edge_table(spark: SparkSession, geometries, target=None) -> tuple[DataFrame, DataFrame]:
+    """(edges: EDGE; geometry ids) of Shapes and what they are made of, or of a vector cube, whose geometries stay distributed."""
+    if not hasattr(geometries, "df"):
+        shapes = Shapes.of(geometries, target)
+        ids = spark.range(len(shapes.parts)).select(F.col("id").alias("geometry"))
+        return spark.createDataFrame(shapes.edges(), EDGE), ids
+    source = geometries.crs
+    move = target is not None and not C.same_crs(source, target)
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for i, text in zip(frame["geom_id"], frame["geometry"]):
+                for poly in polygons_of(json.loads(text)) if text else []:
+                    if move:
+                        poly = [[C.transform(x, y, source, target) for x, y in ring] for ring in poly]
+                    rows += [(i, *e) for e in edges_of(poly)]
+            yield pd.DataFrame(rows, columns=["geometry", "x0", "y0", "x1", "y1"])
+
+    ids = geometries.df.select(F.col("geom_id").cast("long").alias("geometry"))
+    return geometries.df.select(F.col("geom_id").cast("long"), "geometry").mapInPandas(run, EDGE), ids
+
+
+def covering(points: DataFrame, x: str, y: str, edges: DataFrame) -> DataFrame:
+    """(geometry, x, y): the points that lie in each geometry, by the even-odd rule.
+
+    The plane is cut into level strips; a point meets the edges of its own strip only, in an equi-join, and the edges that a ray from it
+    crosses are counted. So neither points nor edges are gathered, and an outline of many edges is no problem for planning.
+    """
+    n, south, north = edges.agg(F.count("*"), F.min(F.least("y0", "y1")), F.max(F.greatest("y0", "y1"))).first()
+    strips = max(1, min(STRIPS, n // STRIP_EDGES))
+    height = (north - south) / strips if n else 1.0
+    low = float(south or 0.0)
+
+    def strip(c: Column) -> Column:
+        return F.floor((c - low) / (height or 1.0)).cast("int")
+
+    cut = edges.withColumn("_strip", F.explode(F.sequence(strip(F.least("y0", "y1")), strip(F.greatest("y0", "y1")))))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    near = points.select(x, y).filter(py.between(low, float(north or 0.0))).distinct().withColumn("_strip", strip(py))
+    crosses = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < (F.col("x1") - F.col("x0")) * (py - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
+    return near.join(cut, "_strip").filter(crosses).groupBy("geometry", x, y).agg(F.count("*").alias("_n")).filter("_n % 2 = 1").select("geometry", x, y)
+
+
 def inside(x: Column, y: Column, rings: Column) -> Column:
     """Even-odd rule over array<array<array<double>>>: rings of (x, y) points; the last point may repeat the first."""
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import Shapes, inside
+from gridloom.functions.geometry import Shapes, covering, edge_table
 from gridloom.functions.reducers import Group
 from gridloom.schema import VALUE, Dim, Interval
 
@@ -174,26 +174,19 @@ def period_intervals(low: datetime, high: datetime, period: str) -> tuple[list[t
 def aggregate_spatial(cube, geometries, reducer, context=None, target: str = "geometry"):
     """The reducer over the cells whose centre lies in each geometry; geometries without cells are NULL.
 
-    Only distinct (x, y) labels are tested, against boxes first; the geometries are the query and of bounded size.
+    geometries: GeoJSON, a path or address of it, or a vector cube, whose ids then are the labels. Only distinct (x, y) labels are tested, by a
+    join with the edges of their strip.
     """
-    shapes = Shapes.of(geometries, cube.schema.crs)
+    edges, ids = edge_table(cube.spark, geometries, cube.schema.crs)
     dx, dy = (d.name for d in cube.schema.spatial)
     rest = cube.others(dx, dy)
-    rows = []
-    for i, rings in shapes.rings():
-        xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
-        rows.append((i, rings, min(xs), max(xs), min(ys), max(ys)) if xs else (i, rings, None, None, None, None))
-    table = cube.spark.createDataFrame(rows, f"{target} int, _rings array<array<array<double>>>, _w double, _e double, _s double, _n double")
-    x, y = F.col(dx).cast("double"), F.col(dy).cast("double")
-    west, south, east, north = shapes.bounds
-    cells = cube.df.select(dx, dy).filter(x.between(west, east) & y.between(south, north)).distinct()
-    near = x.between(F.col("_w"), F.col("_e")) & y.between(F.col("_s"), F.col("_n"))
-    zones = cells.join(F.broadcast(table), near).filter(inside(x, y, F.col("_rings"))).select(target, dx, dy)
+    labels = None if hasattr(geometries, "df") else tuple(range(len(Shapes.of(geometries).parts)))
+    keys = ids.select(F.col("geometry").cast("long" if labels is None else "int").alias(target))
+    zones = covering(cube.df, dx, dy, edges).select(F.col("geometry").cast(keys.schema[target].dataType).alias(target), dx, dy)
     hit = cube.df.join(zones, [dx, dy])
     out = hit.groupBy(target, *rest).agg(_call(reducer, Group(F.col(VALUE), F.struct(dx, dy)), context).alias(VALUE))
-    keys = table.select(target)
     if rest:
-        keys = cube.df.select(*rest).distinct().crossJoin(F.broadcast(keys))
+        keys = cube.df.select(*rest).distinct().crossJoin(keys)
     filled = keys.join(out, [target, *rest], "left")
-    dims = (Dim(target, "other", tuple(range(len(rows)))), *cube.schema.without(dx, dy).dims)
+    dims = (Dim(target, "other", labels), *cube.schema.without(dx, dy).dims)
     return type(cube)(filled.select(target, *rest, VALUE), replace(cube.schema, dims=dims))

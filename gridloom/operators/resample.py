@@ -35,19 +35,23 @@ def _weight(method: str, d):
     return F.when(a < 1e-12, 1.0).when(a < 3, 3 * F.sin(x) * F.sin(x / 3) / (x * x)).otherwise(0.0)
 
 
-def _axis(cube, dim: str) -> tuple[float, float, int]:
-    """First label, step and number of labels of a regular axis."""
-    low, high, n = cube.df.agg(F.min(dim), F.max(dim), F.count_distinct(dim)).first()
-    return float(low), (float(high) - float(low)) / (n - 1) if n > 1 else 1.0, n
+def _axes(cube) -> tuple[tuple[float, float, int], tuple[float, float, int]]:
+    """First label, step and number of labels of both (regular) spatial axes, in one job."""
+    dx, dy = (d.name for d in cube.schema.spatial)
+    row = cube.df.agg(*[f(d) for d in (dx, dy) for f in (F.min, F.max, F.count_distinct)]).first()
+
+    def axis(low, high, n):
+        return float(low), (float(high) - float(low)) / (n - 1) if n > 1 else 1.0, n
+
+    return axis(*row[:3]), axis(*row[3:])
 
 
-def _resample(cube, target, crs, grid, method):
-    """target: a table of the target cells (x, y); grid: steps of it, for methods that gather."""
+def _resample(cube, axes, target, crs, grid, method):
+    """axes: of the cube; target: a table of the target cells (x, y); grid: steps of it, for methods that gather."""
     dx, dy = (d.name for d in cube.schema.spatial)
     rest = cube.others(dx, dy)
     source_crs = cube.schema.crs if cube.schema.crs is not None else crs
-    x0, sx, nx = _axis(cube, dx)
-    y0, sy, ny = _axis(cube, dy)
+    (x0, sx, nx), (y0, sy, ny) = axes
     schema = replace(cube.schema, crs=crs)
     for d in (dx, dy):
         schema = schema.put(replace(schema.dim(d), labels=None))
@@ -91,8 +95,8 @@ def resample_spatial(cube, projection=None, resolution=0, method: str = "near",
         raise DimensionMissing("two spatial dimensions are needed")
     dx, dy = (d.name for d in spatial)
     crs = projection if projection is not None else cube.schema.crs
-    x0, sx, nx = _axis(cube, dx)
-    y0, sy, ny = _axis(cube, dy)
+    axes = _axes(cube)
+    (x0, sx, nx), (y0, sy, ny) = axes
     own = crs is None or cube.schema.crs is None or same_crs(crs, cube.schema.crs)
     edges = [(x, y) for x in (x0 - sx / 2, x0 + sx * (nx - 0.5)) for y in (y0 - sy / 2, y0 + sy * (ny - 0.5))]
     if not own:
@@ -111,7 +115,7 @@ def resample_spatial(cube, projection=None, resolution=0, method: str = "near",
     first_y = south + ry / 2 if "lower" in align else north - ry * (rows - 0.5)
     xs = cube.spark.range(cols).select((F.col("id") * rx + first_x).alias(dx))
     ys = cube.spark.range(rows).select((F.col("id") * ry + first_y).alias(dy))
-    return _resample(cube, xs.crossJoin(ys), crs, ((first_x, rx), (first_y, ry)), method)
+    return _resample(cube, axes, xs.crossJoin(ys), crs, ((first_x, rx), (first_y, ry)), method)
 
 
 def resample_cube_spatial(cube, target, method: str = "near"):
@@ -119,9 +123,9 @@ def resample_cube_spatial(cube, target, method: str = "near"):
     dx, dy = (d.name for d in cube.schema.spatial)
     tx, ty = (d.name for d in target.schema.spatial)
     cells = target.label_table(tx).withColumnRenamed(tx, dx).crossJoin(target.label_table(ty).withColumnRenamed(ty, dy))
-    ax, ay = _axis(target, tx), _axis(target, ty)
+    ax, ay = _axes(target)
     crs = target.schema.crs if target.schema.crs is not None else cube.schema.crs
-    return _resample(cube, cells, crs, ((ax[0], ax[1]), (ay[0], ay[1])), method)
+    return _resample(cube, _axes(cube), cells, crs, ((ax[0], ax[1]), (ay[0], ay[1])), method)
 
 
 def resample_cube_temporal(cube, target, dimension: str | None = None, valid_within: float | None = None):
