@@ -1,7 +1,7 @@
 """Catalogues of items: search, checks of assets and bands, and a scan whose partitions are assets of items.
 
-Pixels are decoded by a reader function of the caller, which gets an asset's address and options and gives frames
-of cells, as no raster library is needed otherwise; Parquet and JSON assets are read by Spark itself.
+Arrays in chunks and Parquet assets are read by Spark itself. Other pixels are decoded by a reader function of the caller, which gets an
+asset's address and options and gives frames of cells, as no raster library is needed otherwise.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from gridloom.cube import Cube
 from gridloom.errors import CubeError, LabelNotAvailable, NoDataAvailable
 from gridloom.schema import VALUE, BBox, CubeSchema, Dim
 from gridloom.sources.cubes import clipped
+from gridloom.sources.zarr import read_zarr
 
 
 def fetch_json(url: str) -> dict:
@@ -96,6 +97,7 @@ def cube_schema(item: dict) -> CubeSchema:
 def load_stac(spark: SparkSession, url: str, spatial_extent: BBox | None = None, temporal_extent=None, bands: list[str] | None = None, properties: dict | None = None, resolution=None, projection=None, resampling: str = "near", reader: Callable[[str, dict], Iterator[pd.DataFrame]] | None = None, fetch: Callable[[str], dict] = fetch_json, search: Callable[[str, dict], list[dict]] | None = None) -> Cube:
     """A cube over the items of a collection, or one item, clipped to the extents.
 
+    Assets named .zarr are read by chunks (sources/zarr.py), others as Parquet tables, or by a reader of one's own.
     reader(address, options): frames with the dimension columns, bands and value of one asset; called on executors.
     Scale and offset of the metadata are kept as attributes and not applied.
     """
@@ -119,7 +121,13 @@ def load_stac(spark: SparkSession, url: str, spatial_extent: BBox | None = None,
     wanted = [a for a in assets if not bands or a in bands or a not in schema.band.labels] or assets
     rows = [(i["id"], a, i["assets"][a]["href"], json.dumps(i["assets"][a])) for i in items for a in wanted]
     found = spark.createDataFrame(rows, "item string, asset string, href string, about string")
-    if reader is None:
+    if reader is None and all(r[2].rstrip("/").endswith(".zarr") for r in rows):
+        axes = {d.name: d.type for d in schema.dims}
+        parts = [read_zarr(spark, r[2], [b for b in bands if b in schema.band.labels] if bands else list(schema.band.labels) or None, None, temporal_extent, schema.crs, axes) for r in rows]
+        cells = parts[0].df.select(*names, VALUE)
+        for part in parts[1:]:
+            cells = cells.union(part.df.select(*names, VALUE))
+    elif reader is None:
         cells = spark.read.parquet(*[r[2] for r in rows]).select(*names, F.col(VALUE).cast("double"))
     else:
         kinds = {d.name: "timestamp_ntz" if d.type == "temporal" else "string" if d.type == "bands" else "double" for d in schema.dims}

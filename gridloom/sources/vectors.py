@@ -6,6 +6,7 @@ import json
 import urllib.request
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,7 @@ class VectorCube:
         """Geometries that touch the box; empty ones fall away."""
         box = extent if C.same_crs(extent.crs, self.crs) else C.reproject_bbox(extent, self.crs)
 
-        @F.udf("boolean")
-        def touches(text):
+        def touch(text):
             g = json.loads(text) if text else None
             if not g:
                 return False
@@ -56,6 +56,10 @@ class VectorCube:
                     return True
             return False
 
+        @F.pandas_udf("boolean")
+        def touches(texts: pd.Series) -> pd.Series:
+            return texts.map(touch).astype(bool)
+
         return VectorCube(self.df.filter(touches(GEOMETRY)), self.crs)
 
     def reproject(self, projection, dimension: str | None = None) -> VectorCube:
@@ -63,9 +67,9 @@ class VectorCube:
             raise DimensionNotAvailable(dimension)
         source, target = self.crs, projection
 
-        @F.udf("string")
-        def moved(text):
-            return None if text is None else json.dumps(_mapped(json.loads(text), lambda p: list(C.transform(p[0], p[1], source, target))))
+        @F.pandas_udf("string")
+        def moved(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda text: json.dumps(_mapped(json.loads(text), lambda p: list(C.transform(p[0], p[1], source, target)))), na_action="ignore")
 
         return VectorCube(self.df.withColumn(GEOMETRY, moved(GEOMETRY)), projection)
 
@@ -74,12 +78,15 @@ class VectorCube:
         if C.is_geographic(self.crs):
             raise UnitMismatch("a distance needs a projected reference system")
 
-        @F.udf("string")
-        def grown(text):
+        def grow(text):
             g = json.loads(text)
             rings = [[[tuple(g["coordinates"])]]] if g["type"] == "Point" else polygons_of(g)
             return json.dumps({"type": "MultiPolygon", "coordinates": [buffered(p, distance) for p in rings]})
 
+        @F.pandas_udf("string")
+        def grown(texts: pd.Series) -> pd.Series:
+            return texts.map(grow, na_action="ignore")
+
         return VectorCube(self.df.withColumn(GEOMETRY, grown(GEOMETRY)), self.crs)
 
 

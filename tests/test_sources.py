@@ -96,3 +96,80 @@ def test_streaming_equals_batch(spark, tmp_path):
         got = {(r.start, r.event_type): (round(r["mean"], 9), r.n) for r in spark.table(f"out_{name}").collect()}
         want = {(r.start, r.event_type): (round(r["mean"], 9), r.n) for r in batch.collect()}
         assert got and all(want[k] == v for k, v in got.items()) and (name == "s" or got == want)
+
+
+def write_zarr(root, arrays, dims, codec):
+    """A group of arrays in chunks, and its consolidated metadata; the last chunk of the first variable has no file."""
+    import gzip
+    import zlib
+
+    import numpy as np
+
+    meta = {".zgroup": {"zarr_format": 2}}
+    pack = {"zlib": zlib.compress, "gzip": gzip.compress, None: bytes}[codec]
+    for name, (data, chunks, attrs) in arrays.items():
+        about = {"zarr_format": 2, "shape": list(data.shape), "chunks": list(chunks), "dtype": data.dtype.str, "compressor": {"id": codec} if codec else None, "fill_value": -99 if data.ndim > 1 else 0, "order": "C", "filters": None}
+        (root / name).mkdir(parents=True)
+        meta[f"{name}/.zarray"], meta[f"{name}/.zattrs"] = about, {"_ARRAY_DIMENSIONS": dims if data.ndim > 1 else [name], **attrs}
+        (root / name / ".zarray").write_text(json.dumps(about))
+        (root / name / ".zattrs").write_text(json.dumps(meta[f"{name}/.zattrs"]))
+        many = [-(-s // c) for s, c in zip(data.shape, chunks)]
+        for at in np.ndindex(*many):
+            block = np.full(chunks, -99, data.dtype)
+            part = data[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks))]
+            block[tuple(slice(0, s) for s in part.shape)] = part
+            if not (name == "B02" and at == tuple(m - 1 for m in many)):
+                (root / name / ".".join(map(str, at))).write_bytes(pack(block.tobytes()))
+    (root / ".zmetadata").write_text(json.dumps({"metadata": meta, "zarr_consolidated_format": 1}))
+
+
+@pytest.mark.parametrize("codec", ["zlib", "gzip", None])
+def test_zarr(spark, tmp_path, codec):
+    import numpy as np
+
+    from gridloom.sources.zarr import read_zarr
+
+    rng = np.random.default_rng(3)
+    x, y, t = np.arange(5) * 10.0, np.arange(4) * 10.0, np.array([0, 1, 5], np.int64)
+    data = {b: rng.integers(0, 100, (3, 4, 5)).astype("<i2") for b in ("B02", "B03")}
+    data["B03"][0, 0, 0] = -99
+    arrays = {"x": (x, (5,), {}), "y": (y, (3,), {}), "t": (t, (2,), {"units": "days since 2020-01-01"})} | {b: (v, (2, 3, 2), {}) for b, v in data.items()}
+    write_zarr(tmp_path / "a.zarr", arrays, ["t", "y", "x"], codec)
+    cube = read_zarr(spark, str(tmp_path / "a.zarr"), crs=32632)
+    got = {(r.bands, r.t, r.y, r.x): r.value for r in cube.df.collect()}
+    days = [pd.Timestamp("2020-01-01") + pd.Timedelta(days=int(d)) for d in t]
+    want = {(b, days[i].to_pydatetime(), y[j], x[k]): float(v[i, j, k]) for b, v in data.items() for i in range(3) for j in range(4) for k in range(5) if v[i, j, k] != -99 and not (b == "B02" and i == 2 and j == 3 and k == 4)}
+    assert got == want and cube.labels("bands") == ["B02", "B03"]
+    some = read_zarr(spark, str(tmp_path / "a.zarr"), ["B03"], BBox(5, 0, 25, 15, 32632), ("2020-01-02", "2020-01-05"))
+    assert {(r.bands, r.y, r.x, r.value) for r in some.df.collect()} == {("B03", y[j], x[k], float(data["B03"][1, j, k])) for j in (0, 1) for k in (1, 2)}
+    one = item(tmp_path, "a") | {"assets": {"data": {"href": str(tmp_path / "a.zarr")}}}
+    loaded = load_stac(spark, "i", BBox(5, 0, 25, 15, 32632), ("2020-01-02", "2020-01-05"), ["B03"], fetch=lambda url: one)
+    assert loaded.df.count() == 4 and loaded.schema.crs == 32632
+    with pytest.raises(E.LabelNotAvailable):
+        read_zarr(spark, str(tmp_path / "a.zarr"), ["B99"])
+
+
+def test_shapes_by_address_and_as_a_vector_cube(spark, tmp_path):
+    import math
+
+    from gridloom.functions import geometry as G
+
+    ring = [[5 + 4 * math.cos(a / 150 * math.pi), 5 + 3 * math.sin(a / 150 * math.pi)] for a in range(300)]
+    star = [[5 + (4 if k % 2 else 1.5) * math.cos(k / 100 * math.pi), 5 + (4 if k % 2 else 1.5) * math.sin(k / 100 * math.pi)] for k in range(200)]
+    features = [{"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[*r, r[0]]]}} for r in (ring, star)]
+    features[0]["geometry"]["coordinates"].append([[4.2, 4.2], [5.9, 4.3], [5.1, 5.8], [4.2, 4.2]])  # a hole
+    shapes = {"type": "FeatureCollection", "crs": {"properties": {"name": "EPSG:3857"}}, "features": features}
+    df = spark.range(41).select((F.col("id") * 0.25).alias("x")).crossJoin(spark.range(41).select((F.col("id") * 0.25).alias("y"))).withColumn(VALUE, F.col("x") * 100 + F.col("y"))
+    cube = Cube.of(df, ["x", "y"], VALUE, None, "EPSG:3857")
+    cells = [(r.x, r.y, r.value) for r in df.collect()]
+    own = G.Shapes.of(shapes)
+    hit = [[v for x, y, v in cells if sum(G.contains(r, (x, y)) for p in shape for r in p) % 2] for shape in own.parts]
+    assert len(own.edges()) > G.FEW_EDGES and all(hit)
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps(shapes))
+    for given in (shapes, str(path), load_geojson(spark, shapes)):
+        got = {r.geometry: r.value for r in cube.aggregate_spatial(given, R._sum).df.collect()}
+        assert all(abs(got[i] - sum(hit[i])) < 1e-6 for i in (0, 1))
+    masked = {(r.x, r.y) for r in cube.mask_polygon(shapes).df.filter("value IS NOT NULL").collect()}
+    inside = {v for h in hit for v in h}
+    assert masked == {(x, y) for x, y, v in cells if v in inside}
