@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
-from gridloom.llm.common import stored
+from gridloom.llm.common import mark, release, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = mark()
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(before, docs)  # what the stage stored for itself; its result is written
     return STAGES[-1][1](spark, docs, sf_dir)
