@@ -215,12 +215,12 @@ def aggregate_intervals(spark, sf):
     return shown(flat.aggregate_temporal([("2024-01-03", "2024-01-10"), ("2024-01-10", "2024-01-20")], R.mean, ["early", "late"]))
 
 
-@query("""WITH o AS (SELECT DISTINCT TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 40) DAY + INTERVAL 7 HOUR AS t FROM orders), l AS (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS t FROM events WHERE user_id < 20),
+@query("""WITH o AS (SELECT DISTINCT TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 40) DAY + INTERVAL 7 HOUR AS t FROM orders), l AS (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS t FROM events WHERE value > 95),
 n AS (SELECT o.t AS t, arg_min(l.t, abs(epoch_us(l.t) - epoch_us(o.t)) * 2 + (l.t > o.t)::INT) AS u FROM o CROSS JOIN l GROUP BY o.t),
-c AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS t, max(value) AS value FROM events WHERE user_id < 20 GROUP BY 1)
+c AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS t, max(value) AS value FROM events WHERE value > 95 GROUP BY 1)
 SELECT n.t, round(CASE WHEN abs(epoch_us(n.u) - epoch_us(n.t)) <= 86400000000 THEN c.value END, 6) AS value FROM n JOIN c ON c.t = n.u""")
 def resample_cube_temporal(spark, sf):
-    ev = read(spark, sf, "events").filter("user_id < 20").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(F.max("value").alias(VALUE))
+    ev = read(spark, sf, "events").filter("value > 95").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(F.max("value").alias(VALUE))
     days = read(spark, sf, "orders").select(F.timestamp_add("HOUR", (F.col("o_orderkey") % 40) * 24 + 7, F.lit("2024-01-01").cast("timestamp_ntz")).alias("t"), F.lit(0.0).alias(VALUE)).distinct()
     return shown(Cube.of(ev, ["t"]).resample_cube_temporal(Cube.of(days, ["t"]), valid_within=1))
 
