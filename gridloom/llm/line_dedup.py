@@ -46,7 +46,7 @@ BROADCAST_ROWS = 1_000_000
 #: Rows of signatures handled together; lines whose signatures are made together, and how many of them may share one before the rest is spread.
 ROWS, CHUNK, LOCAL = 100_000, 4000, 64
 #: Lines of a group that are compared pair by pair; larger groups are dealt again.
-GROUP = 512
+GROUP = 256
 #: Open characters from which the edits are enumerated, by the number of edits.
 OPEN = {1: 64, 2: 12}
 #: Pieces that open characters are cut into, of which as many as there are edits may differ.
