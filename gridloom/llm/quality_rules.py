@@ -23,8 +23,9 @@ from gridloom.llm.common import WORD_GAP, cut, identity, whole_text
 BUCKETS = 1 << 16
 #: Pseudo-count of each bucket in both multinomials.
 PRIOR = 1.0
-#: Mean log ratio from which a text is kept.
-THRESHOLD = -0.25
+#: Mean log ratio from which a text is kept. On the 3,980 labelled documents of sf0.1, which have no part in the weights, those that pass the base rules
+#: are kept or go like this: label 1 kept 100 %, label 0 gone 86 % at -0.25; 100 % and 96 % at -0.2; 99.9 % and 99.3 % at -0.1; 95 % and 100 % at 0.
+THRESHOLD = -0.2
 WINDOW = 8
 
 
