@@ -291,6 +291,7 @@ def _dealt_copies(nodes: DataFrame, most: int) -> DataFrame:
 
         def parts(s, ids, more, n, first, end, opened):
             size = end - first
+            s, ids, more, n = (c[: int(end[-1])] for c in (s, ids, more, n))
             small = (size > 1) & (size <= most)
             small[0] &= not opened
             if small.any():

@@ -7,11 +7,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
-from gridloom.llm import common, decontaminate, html_text, quality_rules, secrets, toxicity
+from gridloom.llm import common, decontaminate, html_text, line_dedup, quality_rules, secrets, simhash, toxicity
 from tests.llm.helpers import SF, edge_frame, edge_rows, texts
 
 
@@ -169,3 +170,74 @@ def test_tables_go(spark):
         gone.count()
     common.discard(kept)
     assert common.mark() == since
+
+
+class Plan:
+    """Stands for a DataFrame and keeps the functions that run on batches."""
+
+    def __init__(self):
+        self.functions = []
+
+    def mapInArrow(self, f, schema):
+        self.functions.append(f)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a: self
+
+
+@pytest.mark.parametrize("most, forest", [(6, 17), (6, 1000), (10, 64), (50, 64)])
+def test_groups_of_copies_across_batches(monkeypatch, most, forest):
+    """Sets of comparable size in one group share a shard, or are both known as members of a large group; neighbours always share one."""
+    monkeypatch.setattr(simhash, "FOREST", forest)
+    plan = Plan()
+    simhash._dealt_copies(plan, most)
+    rnd = random.Random(most * forest)
+    rows = sorted((s * 7 - 100, rnd.choice([20, 21, 22, 24, 25, 30, 31, 60, 61]), i) for s in range(40) for i in rnd.sample(range(100_000), rnd.choice([1, 2, 5, 30, 120])))
+
+    def batches():
+        for a in range(0, len(rows), 13):
+            s, n, ids = zip(*rows[a : a + 13])
+            yield pa.record_batch([pa.array(s, pa.int64()), pa.array(ids, pa.int64()), pa.array([0] * len(s), pa.int32()), pa.array(n, pa.int32())], ["s", "id", "more", "n"])
+
+    shards, large = collections.defaultdict(set), collections.defaultdict(set)
+    for b in plan.functions[1](batches()):
+        for shard, i, _, _, whole in zip(*(c.to_pylist() for c in b.columns)):
+            (large if whole else shards)[shard].add(i)
+    assert max(map(len, shards.values())) <= most
+    of = collections.defaultdict(set)
+    for shard, own in shards.items():
+        for i in own:
+            of[i].add(shard)
+    groups = collections.defaultdict(list)
+    for s, n, i in rows:
+        groups[s].append((n, i))
+    for s, own in groups.items():
+        for b, (m, j) in enumerate(own):
+            for a, (n, i) in enumerate(own[:b]):
+                if 4 * m <= 5 * n:
+                    assert of[i] & of[j] or a + 1 < b and {i, j} <= large[s]
+
+
+@pytest.mark.parametrize("most, limit", [(7, 3), (50, 10), (1000, 4)])
+def test_groups_of_lines_across_batches(most, limit):
+    """No group of up to `limit` lines is cut; of a larger one all rows come, marked as such if it is cut."""
+    rnd = random.Random(most)
+    rows = sorted((s, h, rnd.randint(0, 1)) for s in range(60) for h in [rnd.randint(0, 30) for _ in range(rnd.choice([1, 2, 5, 60]))])
+
+    def batches():
+        for a in range(0, len(rows), 11):
+            s, h, lane = zip(*rows[a : a + 11])
+            yield pa.record_batch([pa.array(s, pa.int64()), pa.array(h, pa.int64()), pa.array(h, pa.int64()), pa.array(lane, pa.int32()), pa.array([None] * len(s), pa.binary())], ["sign", "h", "sketch", "lane", "path"])
+
+    seen, parts = collections.defaultdict(set), collections.defaultdict(list)
+    for k, (table, group, large) in enumerate(line_dedup._grouped(batches(), most, limit)):
+        for s, h, g in zip(table["sign"].to_pylist(), table["h"].to_pylist(), group.tolist()):
+            seen[s].add(h)
+            if not parts[s] or parts[s][-1] != (k, large):
+                parts[s].append((k, large))
+    want = collections.defaultdict(set)
+    for s, h, _ in rows:
+        want[s].add(h)
+    assert seen == want
+    assert all(len(p) == 1 if len(want[s]) <= limit else len(p) == 1 or all(x for _, x in p) for s, p in parts.items())
