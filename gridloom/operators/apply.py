@@ -73,7 +73,7 @@ def apply_polygon(cube, polygons, process, mask_value=None, context=None):
 
 
 def _indexed(cube, dim: str, name: str):
-    """(label, its place from 0): a small table, numbered by one sort."""
+    """(label, its place from 0): as many rows as the axis has labels, numbered by one sort. Spark sees its size when it joins it."""
     labels = cube.label_table(dim)
     ordered = F.sort_array(F.collect_list(dim))
     return labels.agg(ordered.alias("_l")).select(F.posexplode("_l").alias(name, dim))
@@ -109,7 +109,7 @@ def apply_kernel(cube, kernel, factor: float = 1.0, border=0, replace_invalid: f
         total = total + (F.lit(sum(w for _, _, w in taps)) - F.sum(F.col("_t")["w"])) * F.lit(float(border))
     kind = cube.df.schema[VALUE].dataType
     out = spread.groupBy(*rest, "_i", "_j").agg((total * F.lit(float(factor))).cast(kind).alias(VALUE))
-    return type(cube)(out.join(F.broadcast(xs), "_i").join(F.broadcast(ys), "_j").select(*cube.dims, VALUE), cube.schema)
+    return type(cube)(out.join(xs, "_i").join(ys, "_j").select(*cube.dims, VALUE), cube.schema)
 
 
 def _targets(rows, name: str, shift, size: int, border: str, reach: int):
@@ -143,12 +143,12 @@ def apply_neighborhood(cube, process, size: dict, overlap: dict | None = None, c
         at = F.col(f"_{d}")
         # anchors i with i - window//2 <= at <= i - window//2 + window - 1
         first, last = at + window // 2 - window + 1, at + window // 2
-        df = df.join(F.broadcast(index), d).withColumn(f"_a_{d}", F.explode(F.sequence(first, last))).filter((F.col(f"_a_{d}") % stride == 0) & (F.col(f"_a_{d}") >= 0)).drop(d)
+        df = df.join(index, d).withColumn(f"_a_{d}", F.explode(F.sequence(first, last))).filter((F.col(f"_a_{d}") % stride == 0) & (F.col(f"_a_{d}") >= 0)).drop(d)
     rest = [d for d in cube.dims if d not in size]
     value = process(Group(F.col(VALUE), F.struct(*[F.col(f"_{d}") for d in size])))
     out = df.groupBy(*rest, *[f"_a_{d}" for d in size]).agg(value.alias(VALUE))
     for d in size:
-        out = out.join(F.broadcast(_indexed(cube, d, f"_a_{d}")), f"_a_{d}")
+        out = out.join(_indexed(cube, d, f"_a_{d}"), f"_a_{d}")
     schema = cube.schema
     for d in size:
         schema = schema.put(replace(schema.dim(d), labels=None))

@@ -34,16 +34,23 @@ def _aligned(one, two):
     return type(two)(df.select(*two.dims, VALUE), two.schema)
 
 
-def _relation(one, two, name: str) -> str:
-    """equal, disjoint or partial, of the labels along a shared dimension; counted by Spark."""
-    a, b = one.schema.dim(name).labels, two.schema.dim(name).labels
-    if a is not None and b is not None:
-        common, all_of = len(set(a) & set(b)), len(set(a) | set(b))
-    else:
-        both = one.label_table(name).withColumn("_a", F.lit(1)).join(two.label_table(name).withColumn("_b", F.lit(1)), name, "full")
-        row = both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()), F.count("*")).first()
-        common, all_of = row
-    return "equal" if common == all_of else "disjoint" if common == 0 else "partial"
+def _relations(one, two, names: list[str]) -> dict[str, str]:
+    """equal, disjoint or partial, of the labels along each shared dimension: from the declared labels, else counted by Spark, all in one job."""
+    counts, tables = {}, None
+    for name in names:
+        a, b = one.schema.dim(name).labels, two.schema.dim(name).labels
+        if a is not None and b is not None:
+            counts[name] = len(set(a) & set(b)), len(set(a) | set(b))
+            continue
+        for cube, side in ((one, 1), (two, 2)):
+            rows = cube.label_table(name).select(F.lit(name).alias("dim"), F.struct(F.col(name).cast("string").alias("label"), F.col(name).isNull().alias("none")).alias("label"), F.lit(side).alias("side"))
+            tables = rows if tables is None else tables.union(rows)
+    if tables is not None:
+        each = tables.groupBy("dim", "label").agg(F.count_distinct("side").alias("sides"))
+        for r in each.groupBy("dim").agg(F.count_if(F.col("sides") == 2).alias("common"), F.count("*").alias("every")).collect():
+            counts[r["dim"]] = r["common"], r["every"]
+    common = {n: counts.get(n, (0, 0)) for n in names}
+    return {n: "equal" if c == every else "disjoint" if c == 0 else "partial" for n, (c, every) in common.items()}
 
 
 def merge_cubes(cube1, cube2, overlap_resolver=None, context=None):
@@ -74,7 +81,7 @@ def merge_cubes(cube1, cube2, overlap_resolver=None, context=None):
 
 def _same(cube1, cube2, resolver, context):
     dims = cube1.dims
-    relation = {d: _relation(cube1, cube2, d) for d in dims}
+    relation = _relations(cube1, cube2, dims)
     partial = [d for d, r in relation.items() if r == "partial"]
     disjoint = [d for d, r in relation.items() if r == "disjoint"]
     if len(partial) > 1:
