@@ -254,3 +254,39 @@ def test_labelled_array_modify(spark):
     assert [(r.label, r.value) for r in row] == [("a", 1.0), ("b", 9.0)]
     with pytest.raises(Exception, match="ArrayLabelConflict"):
         spark.range(1).select(A.array_modify(named, new, 0, 1, labeled=True).alias("v")).collect()
+
+
+def test_forest_against_its_trees(spark):
+    """Predictions are the mean over the trees of the value of the leaf that a cell falls into, walked by hand."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(3 * a - b * b + rng.normal())) for a, b in rng.uniform(-2, 2, (300, 2))]
+    from gridloom.operators.models import fit_regr_random_forest
+
+    model = fit_regr_random_forest(spark.createDataFrame(rows, "B02 double, B03 double, yield double"), None, ["B02", "B03"], "yield", num_trees=7)
+    cells = [(float(i), b, v) for i, r in enumerate(rows[:40]) for b, v in zip(("B02", "B03"), r)]
+    cube = Cube.of(spark.createDataFrame(cells, "x double, bands string, value double"), ["x", "bands"], VALUE, ["B02", "B03"])
+    got = {r.x: r.value for r in cube.predict_random_forest(model).df.collect()}
+
+    def leaf(node, point):
+        while node.numDescendants():
+            split = node.split()
+            node = node.leftChild() if point[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    trees = [t.rootNode() for t in model.stages[1]._java_obj.trees()]
+    for i, r in enumerate(rows[:40]):
+        assert got[float(i)] == pytest.approx(sum(leaf(t, r) for t in trees) / len(trees))
+    error = np.mean([(got[float(i)] - r[2]) ** 2 for i, r in enumerate(rows[:40])])
+    assert error < 0.5 * np.var([r[2] for r in rows[:40]])
+
+
+def test_recurrence_trend_against_its_matrix():
+    from gridloom.operators.models import trend_of_recurrence
+
+    for seed in range(5):
+        y = np.random.default_rng(seed).normal(size=40).cumsum()
+        near = np.abs(y[:, None] - y[None, :]) <= 1.5
+        rates = [np.mean(np.diagonal(near, k)) for k in range(1, 30)]
+        slope = np.polyfit(np.arange(1, 30), rates, 1)[0]
+        assert trend_of_recurrence(y, 1.5) == pytest.approx(1000 * slope)
+    assert np.isnan(trend_of_recurrence(np.zeros(3), 1.0))
