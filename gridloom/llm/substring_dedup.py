@@ -166,11 +166,14 @@ def _context_rows(wanted: DataFrame) -> DataFrame:
 PLACE = ["h", "low", "high", "core"]
 
 
-def _sorted_groups(contexts: DataFrame) -> DataFrame:
-    """(row, tag, a, b): spans of repeated strings, from the suffix array of the contexts of each group (PLACE, before, after, proved and where)."""
+def _sorted_groups(contexts: DataFrame, most: int) -> DataFrame:
+    """(row, tag, a, b): spans of repeated strings, from the suffix array of the contexts of each group of `most` at most (PLACE, before, after,
+    proved and where). Larger groups are passed over, and never held."""
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def spans(group):
+        if not 1 < len(group) <= most or all(c[6] for c in group):
+            return
         known = [(c[4], c[5], c[6], ((c[7], c[8]), c[9])) for c in group]
         for c, starts in zip(known, repeated_starts(known)):
             (row, tag), at = c[3]
@@ -191,9 +194,10 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
                 if group and group[0][:4] != c[:4]:
                     out += spans(group)
                     group = []
-                group.append(c)
+                if len(group) <= most:
+                    group.append(c)
             yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["row", "tag", "a", "b"])
-        out = list(spans(group)) if group else []
+        out = list(spans(group))
         yield pa.record_batch([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["row", "tag", "a", "b"])
 
     every = contexts.select(*PLACE, "before", "after", "proved", "row", "tag", "at")
@@ -216,11 +220,12 @@ def _group_spans(contexts: DataFrame, most: int) -> DataFrame:
     level = contexts.select("h", F.lit(0).alias("low"), F.lit(SIDE).alias("high"), F.lit(b"").alias("core"), "row", "tag", "at", "proved", "before", "after")
     found = None
     while True:
-        sizes = cut(level.groupBy(*PLACE).agg(F.count("*").alias("n"), F.bool_and("proved").alias("all")).filter("n > 1 AND NOT all").select(*PLACE, "n"))
-        small = _sorted_groups(level.join(sizes.filter(F.col("n") <= most), PLACE, "left_semi"))
+        sizes = level.groupBy(*PLACE).agg(F.count("*").alias("n"), F.bool_and("proved").alias("all"))
+        hot = cut(sizes.filter((F.col("n") > most) & ~F.col("all") & (F.col("low") < F.col("high"))).select(*PLACE))
+        last = hot.isEmpty()
+        small = _sorted_groups(level if last else level.join(hot, PLACE, "left_anti"), most)
         found = small if found is None else found.union(small)
-        hot = sizes.filter((F.col("n") > most) & (F.col("low") < F.col("high")))
-        if hot.isEmpty():
+        if last:
             return found
         rows = stored(_halves(level.join(hot, PLACE, "left_semi")), "halves")
         same = [*PLACE, "before", "after"]
