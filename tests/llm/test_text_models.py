@@ -64,14 +64,16 @@ def test_secrets(spark):
     assert secrets.scan(edge_frame(spark)).count() == len(edge_rows()) and secrets.scan(edge_frame(spark, empty=True)).count() == 0
 
 
-def substring_edits(p, t):
-    row = [0] * (len(t) + 1)
-    for a in p:
-        new = [row[0] + 1]
-        for j, b in enumerate(t):
-            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[-1] + 1))
-        row = new
-    return min(row)
+def substring_edits(parts, t):
+    """Least edits of each part (of one length) against substrings of t, by the full table."""
+    text, many = np.array(list(t)), np.array([list(p) for p in parts])
+    row = np.zeros((len(parts), len(t) + 1), int)
+    steps = np.arange(len(t) + 1)
+    for k in range(many.shape[1]):
+        new = row + 1
+        new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (many[:, k, None] != text))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row.min(1)
 
 
 def test_decontamination(spark):
@@ -86,11 +88,11 @@ def test_decontamination(spark):
     windows = decontaminate.Windows(items)
     got = {(f[0], f[1]) for f in decontaminate.leaks_in(docs, windows)}
     want = set()
+    every = [(windows.item[w], items[windows.item[w]][1][windows.at[w] : windows.at[w] + decontaminate.WINDOW]) for w in range(len(windows.size))]
+    assert {len(p) for _, p in every} == {decontaminate.WINDOW}
     for n, d in enumerate(docs):
-        for w in range(len(windows.size)):
-            p = items[windows.item[w]][1][windows.at[w] : windows.at[w] + decontaminate.WINDOW]
-            if (n, windows.item[w]) not in want and substring_edits(p, d) <= len(p) // decontaminate.EDITS:
-                want.add((n, windows.item[w]))
+        near = substring_edits([p for _, p in every], d) <= decontaminate.WINDOW // decontaminate.EDITS
+        want |= {(n, item) for (item, _), on in zip(every, near) if on}
     assert got == want and len(want) > 3
     bench = spark.createDataFrame([(i, t) for i, t in texts("benchmark", key="item_id")] + [(900, None), (901, ""), (902, "tiny")], "item_id bigint, text string")
     frame = edge_frame(spark, [*edge_rows(), (50, "Start. " + texts("benchmark", key="item_id")[3][1].upper() + " End.")])
