@@ -290,3 +290,18 @@ def test_recurrence_trend_against_its_matrix():
         slope = np.polyfit(np.arange(1, 30), rates, 1)[0]
         assert trend_of_recurrence(y, 1.5) == pytest.approx(1000 * slope)
     assert np.isnan(trend_of_recurrence(np.zeros(3), 1.0))
+
+
+@pytest.mark.parametrize("code", [2154, 3034, 3035, 25832])
+def test_conic_and_equal_area_systems(spark, code):
+    from gridloom.functions.projection import transform
+
+    places = [(5.0, 50.0), (10.0, 52.0), (3.0, 44.0), (-4.0, 36.0), (25.0, 65.0)]
+    df = spark.createDataFrame(places, "lon double, lat double")
+    x, y = transform(F.col("lon"), F.col("lat"), 4326, code)
+    moved = df.select("lon", "lat", x.alias("x"), y.alias("y"))
+    back = transform(F.col("x"), F.col("y"), code, 4326)
+    for r in moved.select("*", back[0].alias("lon2"), back[1].alias("lat2")).collect():
+        assert (r.x, r.y) == pytest.approx(C.from_degrees(r.lon, r.lat, code)) and (r.lon2, r.lat2) == pytest.approx((r.lon, r.lat), abs=5e-8)
+    if code == 3035:  # a published point of this system
+        assert C.from_degrees(5.0, 50.0, code) == pytest.approx((3962799.45, 2999718.85), abs=0.01)
