@@ -123,8 +123,9 @@ class Lexicon:
         known = self.__dict__.setdefault("known", {})
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.score(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = self.score(w)
         return [known[w] for w in words]
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
