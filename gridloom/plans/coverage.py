@@ -12,7 +12,7 @@ from gridloom.functions import arrays as A
 from gridloom.functions import crs as C
 from gridloom.functions import reducers as R
 from gridloom.functions import scalar as S
-from gridloom.plans.catalog import DENSE, GRID, ORACLES, QUERIES, events, grid, orders_cube, query, r6, read, shown
+from gridloom.plans.catalog import DENSE, GRID, ORACLES, QUERIES, grid, orders_cube, query, r6, read, shown
 from gridloom.schema import VALUE, BBox
 from gridloom.sources.cubes import create_data_cube
 from gridloom.sources.stac import load_stac
@@ -227,6 +227,3 @@ def load_stac_item(spark, sf):
     }
     cube = load_stac(spark, "item", BBox(0, 5, 2, 60, 3857), ("2024-01-05", "2024-01-25"), ["click", "view"], fetch=lambda url: item)
     return cube.df.select("t", F.col("y").cast("long").alias("y"), "bands", r6().alias(VALUE))
-
-
-__all__ = ["events"]
