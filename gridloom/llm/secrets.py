@@ -12,7 +12,6 @@ empty table; columns other than the id and the text are ignored. Positions count
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 
