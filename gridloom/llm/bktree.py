@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Queries searched at once, at most, and pairs of a query and a node held at once: fewer queries for larger shards.
-QUERIES, PAIRS = 8192, 2_000_000
+#: Queries searched at once, at most, and pairs of a query and a node held at once: as many queries as their trees have members.
+QUERIES, PAIRS = 8192, 200_000
 
 
 class Forest:
@@ -36,14 +36,21 @@ class Forest:
         self.keys, self.kids = key[order], (np.concatenate(kids) if kids else np.zeros(0, np.int64))[order]
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.codes[a] ^ self.codes[b]).sum(1, dtype=np.int64)
+        out = np.zeros(len(a), np.int64)
+        for word in self.codes.T:  # no copy of whole codes for all pairs
+            out += np.bitwise_count(word[a] ^ word[b])
+        return out
 
     def search(self, radius: int):
         """Yields arrays (query, node) of all pairs of one shard within the radius, query != node."""
-        largest = int(np.bincount(self.root).max()) if len(self.root) else 1
-        step = max(1, min(QUERIES, PAIRS // largest))
-        for start in range(0, len(self.codes), step):
-            q = np.arange(start, min(start + step, len(self.codes)))
+        size = np.bincount(self.root, minlength=len(self.root))[self.root]
+        pairs = np.concatenate([[0], np.cumsum(size)])  # a query meets each member of its tree once, at most
+        end = 0
+        while end < len(self.codes):
+            start = end
+            end = int(np.searchsorted(pairs, pairs[start] + PAIRS, "right")) - 1
+            end = max(start + 1, min(end, start + QUERIES))
+            q = np.arange(start, end)
             node = self.root[q]
             while len(q):
                 d = self.distance(q, node)

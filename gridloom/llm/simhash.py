@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,12 +165,22 @@ SAMPLE, FREQUENT, HOT = 16, 6, 200_000
 #: 64-bit words of a set's SimHash, and the bits that candidates differ in at most. Sets of similarity 4/5 differ in 39 of 256 bits on average, with a
 #: standard deviation of 6 (sets of 4 and 5 shingles in 48), so a link is missed once in 5 million at worst.
 WORDS, RADIUS = 4, 80
-#: Rows of sets handled together.
-SETS = 4096
+#: Rows of sets handled together; shingles of them held as Python sets at once.
+SETS, HELD = 4096, 500_000
+#: Bytes of texts whose sets are made at once, and words whose hashes are remembered.
+PART, REMEMBERED = 2_000_000, 250_000
 #: Documents with a possible partner up to which their names are broadcast rather than shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
+def _parts(batches):
+    """Slices of batches whose last column, the text, has PART bytes at most (or one longer row)."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+        for a, b in chunks(sizes, PART):
+            yield batch.slice(a, b - a)
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's five-word shingles; a shorter text is one shingle, an empty one has none."""
     words: dict[bytes, int] = {}
@@ -184,7 +195,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
                 if h is None:
                     h = words[w] = xxhash.xxh64_intdigest(w, SEED)
                 hashes.append(h)
-        if len(words) > 1_000_000:
+        if len(words) > REMEMBERED:
             words.clear()
         word = np.array(hashes, np.uint64)
         rolled = word.copy()
@@ -209,7 +220,7 @@ def _frequent(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndar
     """(shingle, class) of frequent shingles, ascending. It sets the order of prefixes, so it bears on cost and not on results."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = shingle_sets(batch.column(0).to_pylist())
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["s"])
 
@@ -252,7 +263,7 @@ def _copy_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         frequent = index()
-        for batch in batches:
+        for batch in _parts(batches):
             sets = shingle_sets(batch.column(2).to_pylist())
             raw = [s.tobytes() for s in sets]
             ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
@@ -389,6 +400,7 @@ def _copy_links(batches):
         where = order[fresh]
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").take(pa.array(where)).to_pylist()]
         members: dict[int, frozenset] = {}
+        held = 0
         up = np.arange(len(sets))
         out: list[tuple[int, int]] = []
 
@@ -399,8 +411,13 @@ def _copy_links(batches):
             return x
 
         def member(x: int) -> frozenset:
+            nonlocal held
             if x not in members:
+                if held > HELD:
+                    members.clear()
+                    held = 0
                 members[x] = frozenset(sets[x].tolist())
+                held += len(sets[x])
             return members[x]
 
         for i, j in _candidates(table):
@@ -425,7 +442,7 @@ def _with_sets(docs: DataFrame, key: str, text: str, need: DataFrame) -> DataFra
     """(id, more, shingles) of the documents (row, tag, id, more) that need names."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = shingle_sets(batch.column(2).to_pylist())
             yield pa.record_batch([*batch.columns[:2], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "more", "shingles"])
 

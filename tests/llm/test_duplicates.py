@@ -2,8 +2,10 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -50,6 +52,35 @@ def brute_print(text):
     return sum(1 << k for k in range(64) if 2 * count[k] > len(shingles))
 
 
+def test_search_of_a_large_group_holds_few_pairs():
+    rng = np.random.default_rng(1)
+    codes = np.repeat(rng.integers(0, 2**63, (1, 4), dtype=np.uint64), 3000, 0)
+    for _ in range(8):
+        codes[np.arange(3000), rng.integers(0, 4, 3000)] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    shard = np.repeat([0, 1, 2], [100, 2800, 100])
+    forest = bktree.Forest(codes, shard)
+    tracemalloc.start()
+    pairs = sum(len(q) for q, _ in forest.search(80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = sum(np.bitwise_count(w[:, None] ^ w) for w in codes.T)
+    assert pairs == ((d <= 80) & (shard[:, None] == shard)).sum() - 3000 > 5_000_000
+    assert peak < 10e6
+
+
+def test_sets_of_links_are_held_in_part(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.append(base[rng.permutation(40)[:38]], np.uint64(k + 1))) for k in range(200)]
+    ids = np.arange(200)
+    cols = [np.zeros(200, np.int64), ids, np.zeros(200, np.int32), np.array([len(x) for x in sets], np.int32), ids, [c.tobytes() for c in simhash.set_codes(sets)], [x.tobytes() for x in sets]]
+    batch = pa.record_batch([pa.array(c) for c in cols], ["shard", "id", "more", "n", "part", "code", "shingles"])
+    want = roots(200, [(a, b) for a in range(200) for b in range(a) if 9 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 4 * (len(sets[a]) + len(sets[b]))])
+    monkeypatch.setattr(simhash, "HELD", 100)
+    found = [p for out in simhash._copy_links(iter([batch])) for p in zip(out.column(0).to_pylist(), out.column(2).to_pylist())]
+    assert roots(200, found) == want and len(set(want)) < 100
+
+
 def test_simhash_against_brute_force(spark):
     rows = texts()
     prints = [brute_print(t) for _, t in rows]
