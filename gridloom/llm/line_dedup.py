@@ -10,7 +10,7 @@ a segment of such a line. Lines that meet at a signature are first held against
 classes (k edits change 2 * k counts at most), then by a banded bit-parallel edit distance. Components of
 the links are the classes. The first line of a class (least key, then position) stays, all others go.
 
-Signatures are shuffled without texts; texts are fetched for lines that have a likely partner only. A signature with more than GROUP
+Signatures are shuffled without texts, packed by bucket, and a task holds one bucket of them at least (1 in BUCKETS of all); texts are fetched for lines that have a likely partner only. A signature with more than GROUP
 lines is not compared pair by pair. Its lines are dealt again: what is not yet known to be equal is cut into PIECES pieces, of
 which all but as many as there are edits are untouched, and so on until groups are small or only a few characters are open. There the edits are enumerated: lines with one
 variant (positions replaced or dropped) are linked with the least of them. So work grows with the lines of a group, not
@@ -52,6 +52,9 @@ OPEN = {1: 64, 2: 12}
 #: Pieces that open characters are cut into, of which as many as there are edits may differ.
 PIECES = 4
 CLASSES = 15
+#: A row of signatures as it is shuffled, many in one binary; buckets that such rows are dealt to by signature and lane number, and binaries unpacked together.
+ROW = np.dtype([("sign", "<i8"), ("h", "<i8"), ("sketch", "<i8"), ("lane", "<i4")])
+BUCKETS, PACKED = 4096, 10_000
 
 
 def segments(size: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -193,8 +196,35 @@ def lanes(sign: np.ndarray, indexed: np.ndarray, chunk: int) -> np.ndarray:
     return out
 
 
+def packed(sign: np.ndarray, h: np.ndarray, sketch: np.ndarray, lane: np.ndarray) -> pa.RecordBatch:
+    """(bucket, rows): the rows of each bucket as one binary, so that a shuffle moves and sorts few rows."""
+    bucket = (mix(sign.view(np.uint64) + (lane >> 2).astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    rows = np.empty(len(sign), ROW)
+    for name, x in zip(ROW.names, (sign, h, sketch, lane)):
+        rows[name] = x[order]
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = (np.append(first, len(rows)) * ROW.itemsize).astype(np.int32)
+    binaries = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+    return pa.record_batch([pa.array(bucket[first].astype(np.int32)), binaries], ["bucket", "rows"])
+
+
+def unpacked(batches):
+    """Batches (sign, h, sketch, lane, path) by sign, lane number and h, of packed rows clustered by bucket; rows that meet no other are left out."""
+    for table in whole_groups(batches, PACKED):
+        rows = np.frombuffer(b"".join(table.column(1).to_pylist()), ROW)
+        order = np.argsort(rows["sign"])
+        sign = rows["sign"][order]
+        same = sign[1:] == sign[:-1]
+        on = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows["lane"][order] & 2 > 0)
+        rows = rows[order[on]]
+        rows = rows[np.lexsort((rows["h"], rows["lane"] >> 2, rows["sign"]))]
+        yield pa.record_batch([*(pa.array(np.ascontiguousarray(rows[c])) for c in ROW.names), pa.nulls(len(rows), pa.binary())], [*ROW.names, "path"])
+
+
 def _signature_rows(lines: DataFrame) -> DataFrame:
-    """lines: h, line."""
+    """lines: h, line. packed() rows."""
 
     def run(batches):
         seen: set[int] = set()
@@ -212,9 +242,9 @@ def _signature_rows(lines: DataFrame) -> DataFrame:
                 lines = batch.column(1).take(pa.array(own)).to_pylist()
                 number, sign, part, at, total, edits = placed_by_size(lines)
                 lane = lanes(sign, _indexed(lines, number, part, at, total, edits), int(h[own[0]]))
-                yield pa.record_batch([pa.array(sign), pa.array(h[own][number]), pa.array(sketches(lines)[number]), pa.array(lane)], ["sign", "h", "sketch", "lane"])
+                yield packed(sign, h[own][number], sketches(lines)[number], lane)
 
-    return lines.mapInArrow(run, "sign bigint, h bigint, sketch bigint, lane int")
+    return lines.mapInArrow(run, "bucket int, rows binary")
 
 
 def _indexed(lines, number, part, at, total, edits) -> np.ndarray:
@@ -298,10 +328,10 @@ def _grouped(batches, most: int, limit: int):
 
 def _likely(signs: DataFrame) -> DataFrame:
     """(sign, h, hot, path): hot rows of groups to be dealt again; else lines that have a partner in their group whose sketch allows the edits."""
-    limit = GROUP
+    limit, whole = GROUP, "path" not in signs.columns
 
     def run(batches):
-        for table, group, large in _grouped(batches, ROWS, limit):
+        for table, group, large in _grouped(unpacked(batches) if whole else batches, ROWS, limit):
             sign, h, sketch, lane = (table.column(c).to_numpy() for c in ("sign", "h", "sketch", "lane"))
             marked = np.zeros(len(h), bool)
             hot = np.ones(len(h), bool)
@@ -323,10 +353,11 @@ def _likely(signs: DataFrame) -> DataFrame:
             out = marked | hot
             yield pa.record_batch([pa.array(sign[out]), pa.array(h[out]), pa.array(hot[out]), table.column("path").filter(pa.array(out)).combine_chunks()], ["sign", "h", "hot", "path"])
 
-    if "path" not in signs.columns:
-        signs = signs.withColumn("path", F.lit(None).cast("binary"))
     lane = F.shiftright("lane", 2)
-    dealt = signs.select("sign", "h", "sketch", "lane", "path").repartition("sign", lane).sortWithinPartitions("sign", lane, "h", "path")
+    if whole:
+        dealt = signs.repartition("bucket").sortWithinPartitions("bucket")
+    else:
+        dealt = signs.select("sign", "h", "sketch", "lane", "path").repartition("sign", lane).sortWithinPartitions("sign", lane, "h", "path")
     return dealt.mapInArrow(run, "sign bigint, h bigint, hot boolean, path binary")
 
 

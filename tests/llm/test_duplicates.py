@@ -178,6 +178,27 @@ def test_band_and_signatures():
     assert all(own[i] & own[j] for i, j, n in zip(a, b, near) if n) and line_dedup.alike(one[a], one[b])[near].all()
 
 
+def test_signatures_are_shuffled_in_few_rows():
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randrange(20, 90))) for _ in range(2500)]
+    lines += [x[:30] + "#" + x[31:] for x in lines[:300]] + ["the same long beginning of a line, then " + str(i) for i in range(200)]
+    number, sign, part, at, total, edits = line_dedup.placed_by_size(lines)
+    lane = line_dedup.lanes(sign, line_dedup._indexed(lines, number, part, at, total, edits), 3)
+    h, sketch = number + 10, line_dedup.sketches(lines)[number]
+    batch = line_dedup.packed(sign, h, sketch, lane)
+    assert batch.num_rows <= line_dedup.BUCKETS < len(sign) / 5
+    out = [b for half in (batch.slice(0, 1500), batch.slice(1500)) for b in line_dedup.unpacked(iter([half]))]
+    got = [r for b in out for r in zip(*(b.column(c).to_pylist() for c in ("sign", "h", "sketch", "lane")))]
+    times = collections.Counter(sign.tolist())
+    alone = collections.Counter((s, n >> 2) for s, n in zip(sign.tolist(), lane.tolist()))
+    every = list(zip(sign.tolist(), h.tolist(), sketch.tolist(), lane.tolist()))
+    assert set(got) <= set(every) and len(got) < len(every) / 2 and max(times.values()) > line_dedup.LOCAL
+    assert set(got) >= {r for r in every if alone[r[0], r[3] >> 2] > 1 or r[3] & 2}
+    for b in out:
+        key = list(zip(b.column(0).to_pylist(), [x >> 2 for x in b.column(3).to_pylist()], b.column(1).to_pylist()))
+        assert key == sorted(key)
+
+
 def test_lines_against_brute_force(spark):
     rnd = random.Random(4)
     pool = []
