@@ -3,8 +3,8 @@
 Equal strings have equal anchors: in a string of LENGTH bytes, the ANCHOR-byte gram of least hash. Every text gives its anchors;
 those whose hash occurs once can be in no repeated string. An anchor's context is all bytes that a string around
 it can reach. Occurrences with equal contexts prove each other. The different contexts of one anchor are sorted
-together, as one suffix array over the group (with the anchor itself as one symbol, as all contexts have it): neighbours in
-that order with a long enough common prefix are repeated strings. Spans go back to their texts, where they are joined
+together, as one suffix array over the group (the anchor, which all contexts have, is one symbol with what follows it):
+neighbours in that order whose LENGTH bytes are equal are repeated strings. Spans go back to their texts, where they are joined
 and cut out.
 
 A suffix array sorts GROUP contexts at most. In a larger group the strings are dealt by where they start: those that take over half of the
@@ -21,6 +21,7 @@ all bytes; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import chunks, cut, identity, stored, whole_text
 from gridloom.llm.rolling import Hashes, mix
-from gridloom.llm.suffixes import common_prefixes, suffix_array
+from gridloom.llm.suffixes import suffix_array
 
 LENGTH, ANCHOR = 200, 120
 SIDE = LENGTH - ANCHOR  # bytes to each side of an anchor that a string can reach
@@ -92,42 +93,59 @@ def _most_shared(parts: list[bytes]) -> list[int]:
 
 
 def repeated_starts(contexts: list[tuple[bytes, bytes, bool, tuple]]) -> list[list[int]]:
-    """For each context (left and right of the anchor, whether it is proved, where it is), the numbers of left bytes that
-    a repeated string takes. Contexts that are proved are not reported, but repeat others."""
+    """For each context (left and right of the anchor, whether it is proved, where it is - no two are at one place), the numbers of left bytes that
+    a repeated string takes. Contexts that are proved are not reported, but repeat others.
+
+    What all strings hold (`low` bytes to the left, and the anchor) is one symbol with the bytes to the right: their rank. So the text has a symbol
+    for each start of a string. Contexts that are equal as far as strings reach are in the text once, and count as many.
+    """
     found: list[list[int]] = [[] for _ in contexts]
     # No string reaches further than what a context has in common with another on either side.
     lefts, rights = _most_shared([c[0][::-1] for c in contexts]), _most_shared([c[1] for c in contexts])
-    contexts = [(c[0][len(c[0]) - a :], c[1][:b], c[2], c[3]) for c, a, b in zip(contexts, lefts, rights)]
+    equal: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+    for c, (a, b) in enumerate(zip(lefts, rights)):
+        if a + b >= SIDE:
+            left, right = contexts[c][0], contexts[c][1]
+            equal[left[len(left) - a :], right[:b]].append(c)
+    kinds = list(equal)
+    times = [2 if any(contexts[c][2] for c in own) else len(own) for own in equal.values()]  # proved ones repeat themselves
+    if sum(times) < 2:
+        return found
+    low = max(0, SIDE - max(len(right) for _, right in kinds))
+    tails = [left[len(left) - low :] + right for left, right in kinds]
+    rank = {t: 258 + i for i, t in enumerate(sorted(set(tails)))}
     text: list[int] = []
     owner, taken = [], []
-    for c, (left, right, _, _) in enumerate(contexts):
-        if len(left) + len(right) < SIDE:
-            continue
-        text += [b + 2 for b in left]
-        text.append(258)  # the anchor
-        text += [b + 2 for b in right]
-        text.append(1)
-        owner += [c] * (len(left) + len(right) + 2)
-        taken += range(len(left), -len(right) - 2, -1)
+    for k, ((left, _), tail) in enumerate(zip(kinds, tails)):
+        text += [b + 2 for b in left[: len(left) - low]]
+        text.append(rank[tail])
+        owner += [k] * (len(left) - low + 1)
+        taken += range(len(left), low - 1, -1)
     text.append(0)
     order = suffix_array(text)
-    shared = common_prefixes(text, order)
-    need = SIDE + 1  # symbols of a string: the anchor is one
-    i = 1
-    while i < len(order):
-        if shared[i] < need:
-            i += 1
-            continue
-        j = i
-        while j < len(order) and shared[j] >= need:
-            j += 1
-        run = [s for s in order[i - 1 : j] if 0 <= taken[s] <= SIDE and taken[s] + len(contexts[owner[s]][1]) >= SIDE]
-        places = {None if contexts[owner[s]][2] else (contexts[owner[s]][3][0], contexts[owner[s]][3][1] - taken[s]) for s in run}
-        if len(places) > 1 or None in places:
-            for s in run:
-                if not contexts[owner[s]][2]:
-                    found[owner[s]].append(taken[s])
-        i = j
+    starts: list[list[int]] = [[] for _ in kinds]
+    run: list[int] = []
+    string, count = (-1, b"", b""), 0
+    for s in order[1:]:
+        k, a = owner[s], taken[s]
+        left, right = kinds[k]
+        if not SIDE - len(right) <= a <= SIDE:
+            continue  # no whole string starts here
+        this = (a, left[len(left) - a :], right[: SIDE - a])
+        if this != string:
+            if count > 1:
+                for r in run:
+                    starts[r].append(string[0])
+            run, string, count = [], this, 0
+        run.append(k)
+        count += times[k]
+    if count > 1:
+        for r in run:
+            starts[r].append(string[0])
+    for own, takes in zip(equal.values(), starts):
+        for c in own:
+            if not contexts[c][2]:
+                found[c] = takes[:]
     return found
 
 

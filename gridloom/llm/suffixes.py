@@ -18,7 +18,7 @@ def ascending(x: list[int]) -> list[int]:
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Order of the suffixes of text (symbols below 2^16), whose last symbol must be its only least one.
+    """Order of the suffixes of text (symbols below 2^32), whose last symbol must be its only least one.
 
     Groups: suffixes start in a group for each first symbol. Groups are processed in descending order. A member points to the
     nearest position to its left that lies in a lower group (previous smaller); the positions pointed to are split
@@ -29,8 +29,8 @@ def suffix_array(text: list[int]) -> list[int]:
     free place of its group, until a suffix that has its place. Nothing is renamed and no recursion is needed.
     """
     n = len(text)
-    # Symbols of 16 bits are ordered by counting. Positions ascend in a group.
-    order = np.argsort(np.array(text, np.uint16), kind="stable").tolist()
+    # Symbols of 16 bits are ordered by counting, larger ones by comparing. Positions ascend in a group.
+    order = np.argsort(np.array(text, np.uint16 if max(text) < 1 << 16 else np.uint32), kind="stable").tolist()
     place = [0] * n
     start = [0] * n  # of the group of a position; names the group
     size = [0] * n  # of the group that starts here

@@ -136,6 +136,33 @@ def test_suffix_array():
             assert t[a : a + k] == t[b : b + k] and t[a + k : a + k + 1] != t[b + k : b + k + 1]
 
 
+def test_sorted_contexts(monkeypatch):
+    """Against brute force; and a suffix array sorts a symbol for each start of a string, equal ones once."""
+    rnd = random.Random(4)
+    sorted_texts = []
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda t: sorted_texts.append(len(t)) or suffixes.suffix_array(t))
+    for letters in (b"a", b"ab", bytes(range(256))):
+        for _ in range(40):
+            base = [bytes(rnd.choices(letters, k=80)) for _ in range(2)]
+            sides = {(rnd.choice(base)[rnd.randint(0, 50) :], rnd.choice(base)[: rnd.randint(30, 80)]) for _ in range(6)}
+            sides |= {(x[:-9] + b"?" + x[-8:], y) for x, y in list(sides)[:2]}
+            group = [(x, y, rnd.random() < 0.2, ((i, 0), 100)) for i, (x, y) in enumerate(sorted(sides))]
+            every = collections.defaultdict(int)
+            strings = [{a: (x[len(x) - a :], y[: 80 - a]) for a in range(81) if a <= len(x) and 80 - a <= len(y)} for x, y, _, _ in group]
+            for own, (_, _, proved, _) in zip(strings, group):
+                for s in own.values():
+                    every[s] += 1 + proved
+            want = [[] if proved else [a for a, s in own.items() if every[s] > 1] for own, (_, _, proved, _) in zip(strings, group)]
+            assert [sorted(x) for x in substring_dedup.repeated_starts(group)] == want
+    # 50 texts share 30 bytes to the left of the anchor and all to the right: 31 strings, and the end of the text.
+    group = [(bytes(rnd.choices(range(256), k=49)) + bytes([i]) + bytes(range(30)), b"r" * 80, False, ((i, 0), 100)) for i in range(50)]
+    sorted_texts.clear()
+    assert [sorted(x) for x in substring_dedup.repeated_starts(group)] == [list(range(31))] * 50
+    assert sorted_texts == [32]
+    wide = [rnd.choice((1, 2, 70_000, 70_001)) for _ in range(200)] + [0]
+    assert suffixes.suffix_array(wide) == sorted(range(len(wide)), key=lambda i: wide[i:])
+
+
 def brute_removed(docs, size=200):
     count = collections.Counter(d[i : i + size] for d in docs for i in range(len(d) - size + 1))
     out = []
